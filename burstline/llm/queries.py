@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, media, packing, pii
 from .common import table
 
 
@@ -12,8 +13,21 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack(table(spark, sf_dir, "documents"), keep_ids=False)
+    return placed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", F.col("offset").cast("long").alias("offset"))
+
+
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe,)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_pii, op4_best_fit_packing, op5_media)}
 
 
 def oracle_sql() -> dict[str, str]:
