@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, media, packing, pii
+from . import bpe, licenses, media, packing, pii
 from .common import table
 
 
@@ -26,8 +26,12 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents")))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_pii, op4_best_fit_packing, op5_media)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_pii, op4_best_fit_packing, op5_media, op8_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
