@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import partitions, texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Characters of text in a block: with its dictionary it takes about 60 MB of a worker.
-BLOCK_CHARS = 8_000_000
+#: Characters of text in a block: with its dictionaries it takes about 150 MB of a worker.
+BLOCK_CHARS = 16_000_000
 #: Merged words that a task remembers; beyond it the memory starts anew and words are merged again.
 REMEMBERED = 600_000
 
@@ -53,7 +53,7 @@ def merge(word: bytes, rank: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: the adjacent pair of lowest rank merges first, the leftmost of equals."""
     if (whole := rank.get(word)) is not None:
         return [whole]
-    if len(word) > 48:
+    if len(word) > 200:
         return _merge_long(word, rank)
     parts = [word[i : i + 1] for i in range(len(word))]
     get, top = rank.get, 1 << 60
@@ -96,41 +96,82 @@ def _merge_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
 
 
 #: White space before a space: only there can a pre-token reach over the cut before a space.
-_RUN = re.compile(r"[\s\x1c-\x1f\x85] ")
+_RUNS = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def runs(text: str) -> bool:
+    return any(r in text for r in _RUNS)
+
+
+#: Marks that the public pattern cuts from the letters before them.
+_ENDS = frozenset(",.;:!?")
+
+
+class _Chunks(dict):
+    """Chunk of text → its number in the block; a new one is cut into pre-tokens by `cut`."""
+
+    def __init__(self, block: Block, cut):
+        super().__init__()
+        self.block, self.cut = block, cut
+
+    def __missing__(self, chunk: str) -> int:
+        index, words = self.block.index, self.block.words
+        n = self[chunk] = len(self.block.sizes)
+        own = self.cut(chunk)
+        words.extend([index.setdefault(w, len(index)) for w in own])
+        self.block.sizes.append(len(own))
+        return n
 
 
 class Block:
-    """Distinct pre-tokens of some texts and, by text, the positions they stand at."""
+    """Distinct pre-tokens of some texts and, by text, the positions they stand at.
+
+    A text is cut before every space that follows no white space, which changes no pre-token; each
+    distinct chunk meets the pattern once a block.
+    """
 
     def __init__(self, pattern: str):
-        self.pattern, self.index, self.chunks = regex.compile(pattern), {}, {}
-        self.ids, self.counts, self.positions, self.chars = [], [], [], 0
+        find = regex.compile(pattern).findall
+
+        def spaced(c: str) -> list[str]:
+            if known:
+                if c.isalpha():
+                    return [" " + c]
+                if c[-1:] in _ENDS and c[:-1].isalpha():
+                    return [" " + c[:-1], c[-1]]
+            return find(" " + c)
+
+        known = pattern == public_tokenizers.PATTERN
+        self.index: dict[str, int] = {}
+        self.words: list[int] = []
+        self.sizes: list[int] = []
+        self.spaced, self.first, self.single = _Chunks(self, spaced), _Chunks(self, find), _Chunks(self, lambda w: [w])
+        self.find, self.ids, self.chunks, self.chars = find, [], [], 0
 
     def add(self, doc_id: int | None, text: str) -> None:
-        out: list[int] = []
-        if _RUN.search(text):
-            self._take(text, out)
+        if runs(text):
+            words = self.find(text)
+            own = np.fromiter(map(self.single.__getitem__, words), np.uint32, len(words))
         elif text:
-            chunks, extend = self.chunks, out.extend
             first, *rest = text.split(" ")
-            self._take(first, out)
-            for c in rest:
-                try:
-                    extend(chunks[c])
-                except KeyError:
-                    new: list[int] = []
-                    self._take(" " + c, new)
-                    chunks[c] = new
-                    extend(new)
+            own = np.empty(len(rest) + 1, np.uint32)
+            own[0] = self.first[first]
+            own[1:] = np.fromiter(map(self.spaced.__getitem__, rest), np.uint32, len(rest))
+        else:
+            own = np.zeros(0, np.uint32)
         self.ids.append(doc_id)
-        self.counts.append(len(out))
-        self.positions.append(np.array(out, np.uint32))
+        self.chunks.append(own)
         self.chars += len(text)
 
-    def _take(self, text: str, out: list[int]) -> None:
-        index = self.index
-        for word in self.pattern.findall(text):
-            out.append(index.setdefault(word, len(index)))
+    def positions(self) -> tuple[list[int], np.ndarray]:
+        """Pre-tokens by text, and the indices of all of them."""
+        chunks, sizes = np.concatenate(self.chunks), np.array(self.sizes, np.int64)
+        starts, n = np.cumsum(sizes) - sizes, sizes[chunks]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        at = np.array(self.words, np.uint32)[np.repeat(starts[chunks] - ends + n, n) + np.arange(total)] if total else np.zeros(0, np.uint32)
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, self.chunks)])]
+        return np.diff(bounds).tolist(), at
 
 
 def blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> Iterator[tuple[int, Block]]:
@@ -227,7 +268,7 @@ def word_ids(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), at, pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block", "words"])
 
     def encoded(batches):
-        rank, known = ranks(path), {}
+        encode_piece, known = merger(path, pattern), {}
         for batch in batches:
             out = []
             for packed in batch.column(2):
@@ -236,7 +277,7 @@ def word_ids(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_
                     if (x := known.get(w)) is None:
                         if len(known) >= REMEMBERED:
                             known.clear()
-                        x = known[w] = merge(w, rank)
+                        x = known[w] = encode_piece(w)
                     ids.append(x)
                 out.append(_pack_ids(ids))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(0), pa.array(out, pa.binary())], ["block", "bucket", "ids"])
@@ -247,8 +288,9 @@ def word_ids(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_
             single = np.array([rank.get(w.encode("utf-8", "surrogatepass"), MERGED) for w in block.index], np.uint32)
             buckets = _buckets(block, rank, n)
             order = np.array([i for x in buckets for _, i in x], np.uint32)
-            packed = _arrays(single, order, np.concatenate(block.positions))
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([-1], pa.int32()), pa.array([packed], pa.binary()), pa.array([block.ids], pa.list_(pa.int64())), pa.array([block.counts], pa.list_(pa.int32()))], ["block", "bucket", "ids", "doc_ids", "counts"])
+            counts, at = block.positions()
+            packed = _arrays(single, order, at)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([-1], pa.int32()), pa.array([packed], pa.binary()), pa.array([block.ids], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int32()))], ["block", "bucket", "ids", "doc_ids", "counts"])
 
     ids = texts_.mapInArrow(words, "bucket int, block long, words binary").repartition(n, "bucket").mapInArrow(encoded, "block long, bucket int, ids binary")
     return ids, texts_.mapInArrow(positions, "block long, bucket int, ids binary, doc_ids array<long>, counts array<int>")
@@ -294,6 +336,14 @@ def _encoded_rows(path, doc_ids, counts, at, words):
     return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
+@lru_cache(1)
+def merger(path: str, pattern: str):
+    """merge() by the compiled library; very long pre-tokens, where that takes the square of their length, by the heap."""
+    rank = ranks(path)
+    short = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=rank, special_tokens={})._core_bpe.encode_single_piece
+    return lambda word: short(word) if len(word) <= 200 else merge(word, rank)
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, ids) for every row of docs (doc_id, text), a stored table.
 
