@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, packing, pii
+from . import bpe, licenses, media, packing, pii, toxicity
 from .common import table
 
 
@@ -26,12 +26,19 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents")))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text", "lang"), model)
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.PREDICT).cast("int").alias("predicted"), "threshold", F.col("toxic").alias("flagged"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_pii, op4_best_fit_packing, op5_media, op8_license_scan)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_pii, op4_best_fit_packing, op5_media, op7_toxicity, op8_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
