@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, minhash, packing, pii, toxicity
+from . import bpe, licenses, media, minhash, packing, pii, substrings, toxicity
 from .common import table
 
 
@@ -41,8 +41,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_pii, op4_best_fit_packing, op5_media, op7_toxicity, op8_license_scan, op9_minhash)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_pii, op4_best_fit_packing, op5_media, op7_toxicity, op8_license_scan, op9_minhash, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
