@@ -129,7 +129,7 @@ def covered(intervals: list[tuple[int, int, int]], enough: int) -> list[tuple[in
 
 def passages(source: np.ndarray, own: np.ndarray, size: int = SHINGLE, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, float]]:
     """Proven passages of `own` in `source`: first and last place in both, and the similarity of their shingle sets."""
-    values, first = np.unique(source, return_index=True)
+    values = np.unique(source)
     at = np.minimum(np.searchsorted(values, own), len(values) - 1)
     hit = np.flatnonzero(values[at] == own)
     out = []
@@ -141,14 +141,14 @@ def passages(source: np.ndarray, own: np.ndarray, size: int = SHINGLE, min_words
             a, b = int(run[0]), int(run[-1])
             if b - a + size < min_words:
                 continue
-            there = first[at[run]]
-            near = there[np.abs(there - run - np.median(there - run)) <= GAP]
-            if not len(near):
-                continue
-            x, y = np.unique(own[a : b + 1]), np.unique(source[near.min() : near.max() + 1])
+            x = np.unique(own[a : b + 1])
+            there = np.flatnonzero(np.isin(source, x))
+            # The stretch of the source that shares the most: a shingle may stand there often.
+            near = max(np.split(there, np.flatnonzero(np.diff(there) > gap) + 1), key=len)
+            y = np.unique(source[near[0] : near[-1] + 1])
             both = len(np.intersect1d(x, y, assume_unique=True))
             if 100 * both >= SIMILAR * (len(x) + len(y) - both):
-                out.append((a, b, int(near.min()), int(near.max()), both / (len(x) + len(y) - both)))
+                out.append((a, b, int(near[0]), int(near[-1]), both / (len(x) + len(y) - both)))
                 kept.append(run)
         if kept:
             hit = np.setdiff1d(hit, np.concatenate(kept), assume_unique=True)
