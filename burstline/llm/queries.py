@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, media, minhash, packing, pii, substrings, toxicity
+from . import bpe, licenses, media, minhash, packing, pii, quality, substrings, topk, toxicity
 from .common import table
 
 
@@ -13,6 +13,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -26,6 +31,12 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents")))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.grade(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -46,8 +57,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_pii, op4_best_fit_packing, op5_media, op7_toxicity, op8_license_scan, op9_minhash, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_topk, op3_pii, op4_best_fit_packing, op5_media, op6_quality, op7_toxicity, op8_license_scan, op9_minhash, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_exact_topk": topk.ORACLE}
