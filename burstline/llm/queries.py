@@ -56,8 +56,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_topk, op3_pii, op4_best_fit_packing, op5_media, op6_quality, op7_toxicity, op8_license_scan, op9_minhash, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_exact_topk, op3_pii, op4_best_fit_packing, op5_media, op6_quality, op7_toxicity, op8_license_scan, op9_minhash, op10_substring_dedup, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

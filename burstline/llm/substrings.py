@@ -34,6 +34,8 @@ GAP = 3 * SHINGLE
 PART_ROWS = 4000
 #: Shared hashes that may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Documents with passages whose places may be broadcast; beyond it they are joined by a shuffle.
+BROADCAST_DOCS = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _NOISE = np.random.default_rng(11).integers(0, 1 << 16, 1 << 16, dtype=np.uint64)
 
@@ -229,8 +231,9 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """
     names = docs.columns
     at = names.index("text")
-    lists = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    joined = docs.join(lists, "doc_id", "left").select(*(docs[c] if c != "doc_id" else F.col("doc_id") for c in names), "_spans")
+    lists = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "cuts")
+    few = lists.count() <= BROADCAST_DOCS
+    joined = docs.join(F.broadcast(lists) if few else lists, "doc_id", "left").select(*names, "_spans")
 
     def run(batches):
         for batch in batches:
