@@ -32,8 +32,6 @@ MIN_WORDS, WINDOW = 50, 40
 GAP = 3 * SHINGLE
 #: Regions of documents that one task compares with a source.
 PART_ROWS = 4000
-#: Shared hashes that may be broadcast; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 500_000
 #: Documents with passages whose places may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_DOCS = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -167,8 +165,7 @@ def repeats(docs: DataFrame, size: int = SHINGLE, functions: int = FUNCTIONS, en
     spark = docs.sparkSession
     every = written(windows(docs, size, functions, least), "windows")
     shared = written(every.groupBy("v").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last")).where("source_id <> last").select("v", "source_id"), "shared")
-    hubs = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    found = every.join(hubs, "v").select("doc_id", "source_id", F.struct("f", "l", "r").alias("w"))
+    found = every.join(shared, "v").select("doc_id", "source_id", F.struct("f", "l", "r").alias("w"))
     # The windows of one document and source; as many at most as the document has.
     pairs = found.where("doc_id <> source_id").groupBy("doc_id", "source_id").agg(F.collect_list("w").alias("ws"), F.count_distinct("w.f").alias("n")).where(F.col("n") >= enough)
     pairs = written(pairs.select("doc_id", "source_id", "ws"), "pairs")
