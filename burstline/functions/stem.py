@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _VOWELS = "aeiou"
@@ -84,8 +85,11 @@ def porter(word: str) -> str:
     return w
 
 
-@F.pandas_udf("string")
-def stem(words: pd.Series) -> pd.Series:
-    """Stems of words; apply it to distinct words and join them back."""
+def _stems(words: pd.Series) -> pd.Series:
     known = {w: porter(w) for w in words.dropna().unique()}
     return words.map(known)
+
+
+def stem(word: Column) -> Column:
+    """Stems of words; apply it to distinct words and join them back."""
+    return F.pandas_udf(_stems, "string")(word)
