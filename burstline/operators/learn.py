@@ -24,12 +24,21 @@ def minmax(df: DataFrame) -> DataFrame:
 
 def merge(df: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
     """For each pair (a, b) of features the product in place of a; the b's go once all products are made."""
-    gone = {b for _, b in pairs}
-    n = "x"
-    product = F.col(n)
+    gone = [b for _, b in pairs]
+    factors: dict[int, list[int]] = {}
     for a, b in pairs:
-        product = F.transform(product, lambda v, i, a=a, b=b, p=product: F.when(i == a, v * F.col(n)[b]).otherwise(v))
-    return df.withColumn("x", F.transform(F.filter(F.transform(product, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda s: ~s["i"].isin(list(gone))), lambda s: S.rounded(s["v"])))
+        factors.setdefault(a, []).append(b)
+
+    def value(v, i):
+        out = v
+        for a, own in factors.items():
+            by = F.lit(1.0)
+            for b in own:
+                by = by * F.col("x")[b]
+            out = F.when(i == a, v * by).otherwise(out)
+        return F.struct(S.rounded(out).alias("v"), i.alias("i"))
+
+    return df.withColumn("x", F.transform(F.filter(F.transform("x", value), lambda s: ~s["i"].isin(gone)), lambda s: s["v"]))
 
 
 def strengthen(df: DataFrame, features: list[int], factor: float = 2.0, weaken: list[int] | tuple = (), divisor: float = 4.0) -> DataFrame:
@@ -238,12 +247,15 @@ def reweighted(df: DataFrame, model: DataFrame) -> DataFrame:
 
 def kmeans_cw(df: DataFrame, seeds: list[int], rounds: int = 15) -> DataFrame:
     """Clusters label the rows, a learner reads the labels, its weights scale the features, and again."""
-    own = df
+    own, last = df, None
     out = event_cluster(kmeans(own, seeds))
     for _ in range(rounds):
         guess = out.select("instance_id", F.col("predicted").alias("label"), "x")
         model = cw_binary(guess).select("feature", "mean")
         rows = [tuple(r) for r in model.collect()]  # one a feature
+        if rows == last:  # the same labels gave the same weights: nothing changes any more
+            break
+        last = rows
         fixed = df.sparkSession.createDataFrame(rows, "feature int, mean double")
         own = minmax(reweighted(df, fixed))
         out = event_cluster(kmeans(own, seeds))
