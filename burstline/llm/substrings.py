@@ -228,9 +228,10 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """
     names = docs.columns
     at = names.index("text")
-    lists = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans")), "cuts")
+    cuts = max(names, key=len) + "_cuts"  # longer than any name of docs
+    lists = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias(cuts)), "cuts")
     few = lists.count() <= BROADCAST_DOCS
-    joined = docs.join(F.broadcast(lists) if few else lists, "doc_id", "left").select(*names, "_spans")
+    joined = docs.join(F.broadcast(lists) if few else lists, "doc_id", "left").select(*names, cuts)
 
     def run(batches):
         for batch in batches:
