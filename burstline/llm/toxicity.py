@@ -27,7 +27,13 @@ BUCKETS, SIZE, FILTERS, WIDTHS = 1 << 18, 8, 6, (1, 2, 3)
 #: Beginnings of a word that share weights between its forms.
 PREFIXES = (4, 5, 6)
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.05, 7
+#: Batches of the shortest fit: small samples take more epochs.
+LEAST_BATCHES = 400
+#: Documents of the sample that a bucket must stand in to have an embedding: what only one holds says nothing of others.
+LEAST_DOCS = 3
 PREDICT = 0.7
+#: One row in so many of the sample calibrates.
+CALIBRATE = 6
 #: Words that a task remembers.
 REMEMBERED = 250_000
 
@@ -105,6 +111,12 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = SEED) -
     known = Words()
     docs = [known.of(t) for t, _ in sample]
     rows = np.array(known.rows, np.int32)
+    held = np.zeros(BUCKETS, np.int64)
+    for own in docs:
+        held[np.unique(rows[own])] += 1
+    rare = held < LEAST_DOCS
+    rare[0] = True
+    epochs = max(epochs, -(-LEAST_BATCHES * BATCH // (2 * max(map(len, by)))))
     seen = [np.full(x.shape, 1e-2, np.float32) for x in (*model.filters, model.bias, model.out)]
     seen_e, seen_s = np.full(BUCKETS, 1e-2, np.float32), 1e-2
     for _ in range(epochs):
@@ -151,7 +163,7 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = SEED) -
             total = np.zeros((len(ids), SIZE), np.float32)
             for c in range(rows.shape[1]):
                 np.add.at(total, back[:, c], v)
-            total[ids == 0] = 0
+            total[rare[ids]] = 0
             seen_e[ids] += (total * total).mean(1)
             model.embeddings[ids] -= RATE * total / np.sqrt(seen_e[ids])[:, None]
     return model
@@ -171,21 +183,22 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)), F.lit(1)).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, int, str, int]]:
-    """At most `per_label` texts of each label, without the held-out rows: text, label, lang, fold."""
-    own = labels.where(F.col("toxic").isin(0, 1)).select("doc_id", "toxic", fold(F.col("doc_id")).alias("fold")).where("fold != 1")
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, int, str, bool]]:
+    """At most `per_label` texts of each label, without the held-out rows: text, label, lang, and whether it calibrates."""
+    apart = F.crc32(F.concat(F.lit("c"), F.col("doc_id").cast("string")).cast("binary")) % CALIBRATE == 0
+    own = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", "toxic", apart.alias("apart"))
     picked = [own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
     few = picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"])  # 2 * per_label rows at most
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = texts(docs.withColumn("_lang", lang), "_lang").join(F.broadcast(few), "doc_id")
-    return [(r["text"], r["toxic"], r["_lang"], r["fold"]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * per_label).collect()]
+    return [(r["text"], r["toxic"], r["_lang"], r["apart"]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * per_label).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Fits on folds 0, calibrates each language's threshold on fold 2 (best F1; PREDICT where a language has fewer than 5 of a label)."""
+    """Fits on most of the sample and calibrates each language's threshold on the rest (best F1; PREDICT where a language has fewer than 5 of a label there)."""
     rows = sample(docs, labels, per_label)
-    model = fit([(t, y) for t, y, _, f in rows if f == 0])
-    rest = [(t, y, lang) for t, y, lang, f in rows if f == 2]
+    model = fit([(t, y) for t, y, _, apart in rows if not apart])
+    rest = [(t, y, lang) for t, y, lang, apart in rows if apart]
     if rest:
         got, known, projected = [], Words(), np.zeros((0, FILTERS * sum(WIDTHS)), np.float32)
         for at in range(0, len(rest), 64):
