@@ -31,6 +31,8 @@ EPOCHS, BATCH, RATE, SEED = 8, 32, 0.05, 7
 LEAST_BATCHES = 400
 #: Documents of the sample that a bucket must stand in to have an embedding: what only one holds says nothing of others.
 LEAST_DOCS = 3
+#: Share of the log odds that embeddings start with.
+ODDS = 0.2
 PREDICT = 0.7
 #: One row in so many of the sample calibrates.
 CALIBRATE = 6
@@ -111,11 +113,16 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = SEED) -
     known = Words()
     docs = [known.of(t) for t, _ in sample]
     rows = np.array(known.rows, np.int32)
-    held = np.zeros(BUCKETS, np.int64)
-    for own in docs:
-        held[np.unique(rows[own])] += 1
-    rare = held < LEAST_DOCS
+    held = np.zeros((2, BUCKETS))
+    for own, (_, y) in zip(docs, sample):
+        held[y, np.unique(rows[own])] += 1
+    rare = held.sum(0) < LEAST_DOCS
     rare[0] = True
+    # The first component starts as the log odds of a label by the documents that hold the bucket, the others at 0.
+    odds = np.log((held[1] + 1) / (len(by[1]) + 2)) - np.log((held[0] + 1) / (len(by[0]) + 2))
+    model.embeddings[:, 0] = np.where(rare, 0, ODDS * odds)
+    for f in model.filters:
+        f[0, 0] = np.abs(f[0, 0])
     epochs = max(epochs, -(-LEAST_BATCHES * BATCH // (2 * max(map(len, by)))))
     seen = [np.full(x.shape, 1e-2, np.float32) for x in (*model.filters, model.bias, model.out)]
     seen_e, seen_s = np.full(BUCKETS, 1e-2, np.float32), 1e-2
