@@ -31,7 +31,7 @@ MIN_WORDS, WINDOW = 50, 40
 #: Places without a match inside a passage: three changed words.
 GAP = 3 * SHINGLE
 #: Regions of documents that one task compares with a source.
-PART_ROWS = 4000
+PART_ROWS = 500
 #: Documents with passages whose places may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_DOCS = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
