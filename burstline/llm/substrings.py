@@ -1,16 +1,19 @@
-"""Passages that repeat across documents, by compact windows.
-
-Places of a document are its word shingles.  Under a hash function, the Cartesian tree over the
-places' hashes groups all stretches of at least WINDOW places: a node with range l..r stands for every
-stretch within l..r that holds it, and all of them share its hash as their minimum.  The tree is
-built from the top and only as far down as ranges are long enough, about 2 n / WINDOW nodes.
-
-A stretch that two documents share makes windows of equal hash in both, under every function where
-the minimum lies in what they share.  Each hash leads to the smallest document that holds it; the
-windows of a document and such a source meet by interval, and where those of ENOUGH functions
-overlap, the two regions are compared place by place.  A region is proven if SIMILAR hundredths of
-the shingles agree over MIN_WORDS words.  A passage that a third of all documents hold costs each of
-them one comparison with its source.
+"""Passages that repeat across documents, by seeds.
+
+Seeds of a document are the places of its SEED-word shingles that have the smallest hash of some REACH
+neighbouring ones; they are the nodes of the Cartesian tree over the hashes with a range that long,
+about 2 n / REACH.  Every stretch of SEED + REACH - 1 words that two documents share word by word has a
+seed in both, at the same word.  A passage of MIN_WORDS words with SIMILAR hundredths of its shingles in
+common has room for so few changes that it holds such a stretch: what two documents share, their seeds
+show without chance.
+
+Each seed leads to the smallest document that holds it.  The documents' regions around seeds are
+compared with that source place by place: a region is proven if SIMILAR hundredths of the shingles
+agree over MIN_WORDS words.  A passage that a third of all documents hold costs each of them one
+comparison with its source.  Seeds that no proven passage holds go on, in groups by seed cut into
+parts, to all other smaller holders, until one proves them or none is left.  There only the rarest
+shingles of what stands around the seed are looked up: a short line that many documents have in common
+is not compared pair by pair.
 """
 
 from __future__ import annotations
@@ -23,15 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, texts, written
-from .minhash import SIMILAR, _Hashes, mixed, word_hashes
-
-SHINGLE, FUNCTIONS, ENOUGH = 5, 4, 2
-#: Words of the shortest passage, and places of the shortest window.
-MIN_WORDS, WINDOW = 50, 40
+from .minhash import SIMILAR, _Counter, _Hashes, mixed, word_hashes
+
+SHINGLE = 5
+#: Words of the shortest passage.
+MIN_WORDS = 50
+#: Words of a seed, and neighbouring ones of which the smallest hash is taken: together they stand in every 24 equal words.
+SEED, REACH = 10, 15
+#: Places to each side of a seed that are compared; regions of one document and source that are as near are one.
+AROUND = 64
 #: Places without a match inside a passage: three changed words.
 GAP = 3 * SHINGLE
 #: Regions of documents that one task compares with a source.
 PART_ROWS = 500
+#: Holders of a seed in one part of its group.
+GROUP_ROWS = 1000
 #: Documents with passages whose places may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_DOCS = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -49,7 +58,7 @@ def places(text: str, known: dict, size: int = SHINGLE) -> np.ndarray:
     return mixed(h)
 
 
-def compact_windows(h: np.ndarray, least: int = WINDOW) -> list[tuple[int, int, int]]:
+def compact_windows(h: np.ndarray, least: int = REACH) -> list[tuple[int, int, int]]:
     """(place of the minimum, l, r) of every node of the Cartesian tree over at least `least` places.
 
     Equal hashes are told apart by noise, so that a text of one repeated word makes no chain.
@@ -69,61 +78,39 @@ def compact_windows(h: np.ndarray, least: int = WINDOW) -> list[tuple[int, int,
     return out
 
 
-def _salted(h: np.ndarray, function: int) -> np.ndarray:
-    return mixed(h + np.uint64(0x9E3779B97F4A7C15 * (function + 1) & 0xFFFFFFFFFFFFFFFF))
-
-
-def windows(docs: DataFrame, size: int = SHINGLE, functions: int = FUNCTIONS, least: int = WINDOW) -> DataFrame:
-    """(v, f, doc_id, l, r) of all compact windows; v is the hash under function f."""
+def seeds(docs: DataFrame, size: int = SEED, reach: int = REACH) -> DataFrame:
+    """(v, doc_id, at): the hash and the first word of each seed."""
 
     def run(batches):
         known = _Hashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                own = batch.slice(at, 64)
-                columns: list[list] = [[], [], [], [], []]
+            for lo in range(0, batch.num_rows, 64):
+                own = batch.slice(lo, 64)
+                columns: list[list] = [[], [], []]
                 for doc_id, text in zip(own.column(0).to_pylist(), own.column(1)):
                     h = places(text.as_py(), known, size)
-                    if len(h) < least or doc_id is None:
+                    if len(h) < reach or doc_id is None:
                         continue
-                    for f in range(functions):
-                        salted = _salted(h, f)
-                        found = compact_windows(salted, least)
-                        at_, l, r = zip(*found)
-                        columns[0].append(salted[list(at_)])
-                        columns[1].append(np.full(len(found), f, np.int32))
-                        columns[2].append(np.full(len(found), doc_id, np.int64))
-                        columns[3].append(np.array(l, np.int32))
-                        columns[4].append(np.array(r, np.int32))
+                    at = np.array([c for c, _, _ in compact_windows(h, reach)], np.int32)
+                    columns[0].append(h[at])
+                    columns[1].append(np.full(len(at), doc_id, np.int64))
+                    columns[2].append(at)
                 if columns[0]:
-                    v, f, d, l, r = (np.concatenate(c) for c in columns)
-                    yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(f), pa.array(d), pa.array(l), pa.array(r)], ["v", "f", "doc_id", "l", "r"])
+                    v, d, at = (np.concatenate(c) for c in columns)
+                    yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(d), pa.array(at)], ["v", "doc_id", "at"])
 
-    return texts(docs).mapInArrow(run, "v long, f int, doc_id long, l int, r int")
+    return texts(docs).mapInArrow(run, "v long, doc_id long, at int")
 
 
-def covered(intervals: list[tuple[int, int, int]], enough: int) -> list[tuple[int, int]]:
-    """Stretches of windows (f, l, r) that hold a place where those of `enough` functions overlap, as far as these windows reach."""
+def regions_of(at: list[int], n: int) -> list[tuple[int, int]]:
+    """Stretches (first, end) of n places around seeds."""
     out: list[tuple[int, int]] = []
-    events = sorted([(l, 0, f, r) for f, l, r in intervals] + [(r + 1, -1, f, l) for f, l, r in intervals])
-    live: dict[int, list[int]] = {}
-    low = None
-    for at, kind, f, other in events:
-        if kind == 0:
-            live.setdefault(f, []).append(at)
-            if len(live) >= enough:
-                low = min(low if low is not None else at, min(min(x) for x in live.values()))
+    for x in sorted(at):
+        a, b = max(0, x - AROUND), min(n, x + SEED + AROUND)
+        if out and a <= out[-1][1] + AROUND:
+            out[-1] = (out[-1][0], b)
         else:
-            if low is not None and len(live) >= enough:
-                if out and low <= out[-1][1]:
-                    out[-1] = (min(out[-1][0], low), max(out[-1][1], at - 1))
-                else:
-                    out.append((low, at - 1))
-            live[f].remove(other)
-            if not live[f]:
-                del live[f]
-            if len(live) < enough and not live:
-                low = None
+            out.append((a, b))
     return out
 
 
@@ -155,24 +142,24 @@ def passages(source: np.ndarray, own: np.ndarray, size: int = SHINGLE, min_words
     return sorted(out)
 
 
-def repeats(docs: DataFrame, size: int = SHINGLE, functions: int = FUNCTIONS, enough: int = ENOUGH, least: int = WINDOW, min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages that repeat: doc_id, start and end (words, end exclusive), source_id, source_start, source_end, similarity.
+_SPANS = "doc_id long, start long, end long, source_id long, source_start long, source_end long, similarity double"
 
-    docs (doc_id, text) is a stored table.  source_id, always smaller than doc_id, holds the passage too.
-    Rows without doc_id, and null, empty and short texts take no part; repeats inside one document
-    aren't reported; rows that repeat a doc_id count as one document; other columns are left out.
-    """
-    spark = docs.sparkSession
-    every = written(windows(docs, size, functions, least), "windows")
-    shared = written(every.groupBy("v").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last")).where("source_id <> last").select("v", "source_id"), "shared")
-    found = every.join(shared, "v").select("doc_id", "source_id", F.struct("f", "l", "r").alias("w"))
-    # The windows of one document and source; as many at most as the document has.
-    pairs = found.where("doc_id <> source_id").groupBy("doc_id", "source_id").agg(F.collect_list("w").alias("ws"), F.count_distinct("w.f").alias("n")).where(F.col("n") >= enough)
-    pairs = written(pairs.select("doc_id", "source_id", "ws"), "pairs")
-    parts = pairs.groupBy("source_id").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-    parts = written(parts, "parts")
+
+def _spans(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (*[pa.int64()] * 6, pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "start", "end", "source_id", "source_start", "source_end", "similarity"])
+
+
+def _of_smallest(docs: DataFrame, found: DataFrame, size: int, min_words: int) -> DataFrame:
+    """Passages of found (doc_id, at, source_id), seeds with the smallest document that holds them."""
+    pairs = written(found.groupBy("doc_id", "source_id").agg(F.collect_list("at").alias("ws")), "pairs")  # as many as the document has
+    parts = written(pairs.groupBy("source_id").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "parts")
     mine = pairs.join(parts, "source_id").select("doc_id", "source_id", "ws", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("parts"))
-    theirs = parts.select(F.col("source_id").alias("doc_id"), "source_id", F.lit(None).cast("array<struct<f:int,l:int,r:int>>").alias("ws"), F.lit(0).alias("part"), "parts")
+    theirs = parts.select(F.col("source_id").alias("doc_id"), "source_id", F.lit(None).cast("array<int>").alias("ws"), F.lit(0).alias("part"), "parts")
+    names, kinds = ["source_id", "part", "side", "doc_id", "at", "places"], (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     def regions(batches):
         known = _Hashes()
@@ -183,19 +170,14 @@ def repeats(docs: DataFrame, size: int = SHINGLE, functions: int = FUNCTIONS, en
                 if ws is None:
                     out += [(source_id, p, 0, doc_id, 0, h.tobytes()) for p in range(parts)]
                 else:
-                    for a, b in covered([(w["f"], w["l"], w["r"]) for w in ws], enough):
-                        out.append((source_id, part, 1, doc_id, a, h[a : b + 1].tobytes()))
+                    # A doc_id may repeat with another text, in which the seeds don't stand.
+                    out += [(source_id, part, 1, doc_id, a, h[a:b].tobytes()) for a, b in regions_of(ws, len(h)) if a < b]
                 if len(out) >= 256:
                     yield batch_of(out)
                     out = []
             if out:
                 yield batch_of(out)
 
-    names, kinds = ["source_id", "part", "side", "doc_id", "at", "places"], (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-
     wanted = mine.unionByName(theirs)
     joined = texts(docs).join(wanted, "doc_id").select(F.lit(0).alias("x"), "text", "source_id", "ws", "part", "parts", "doc_id")
     sides = joined.mapInArrow(regions, "source_id long, part int, side int, doc_id long, at int, places binary")
@@ -212,12 +194,116 @@ def repeats(docs: DataFrame, size: int = SHINGLE, functions: int = FUNCTIONS, en
                 elif key == (source_id, part) and len(source):
                     out += [(doc_id, at + a, at + b + size, source_id, c, d + size, s) for a, b, c, d, s in passages(source, h, size, min_words)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["doc_id", "start", "end", "source_id", "source_start", "source_end", "similarity"])
+                yield _spans(out)
+
+    dealt = sides.repartition(partitions(docs.sparkSession), "source_id", "part").sortWithinPartitions("source_id", "part", "side", "doc_id", "at")
+    return dealt.mapInArrow(compare, _SPANS)
+
+
+def needed(own: np.ndarray, length: int) -> int:
+    """Distinct shingles that any passage of at least `length` places of own has in common with its source."""
+    if len(np.unique(own)) == len(own) or len(own) <= length:
+        least = len(np.unique(own[:length]))
+    else:
+        least = min(len(np.unique(own[i : i + length])) for i in range(len(own) - length + 1))
+    return max(1, -(-SIMILAR * least // 100))
+
+
+def _of_others(docs: DataFrame, found: DataFrame, size: int, min_words: int) -> DataFrame:
+    """Passages around the seeds of found (v, doc_id, at, left): each left one with its holders that are smaller, until one proves it."""
+    of = lambda df, n: df.groupBy("v").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(n))
+    sizes = of(found.where("left"), "lefts").join(of(found, "rights"), "v")
+    rows = found.join(sizes, "v").groupBy("doc_id").agg(F.collect_list(F.struct("v", "at", "left", "lefts", "rights")).alias("ws"))  # as many as the document has
+    joined = texts(docs).join(rows, "doc_id").select("doc_id", "text", "ws")
+    names, kinds = ["v", "part", "side", "doc_id", "at", "seed", "places"], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+
+    def contexts(batches):
+        known = _Hashes()
+        for batch in batches:
+            out = []
+            for doc_id, text, ws in zip(*(c.to_pylist() for c in batch.columns)):
+                h = places(text, known, size)
+                for w in ws:
+                    v, at, lefts, rights = w["v"], w["at"], w["lefts"], w["rights"]
+                    a = max(0, at - AROUND)
+                    raw = h[a : at + SEED + AROUND].tobytes()
+                    if not raw:
+                        continue
+                    j = (doc_id * 31 + at) % rights
+                    out += [(v, i * rights + j, 0, doc_id, a, at, raw) for i in range(lefts)]
+                    if w["left"]:
+                        i = (doc_id * 31 + at) % lefts
+                        out += [(v, i * rights + j, 1, doc_id, a, at, raw) for j in range(rights)]
+                    if len(out) >= 256:
+                        yield batch_of(out)
+                        out = []
+            if out:
+                yield batch_of(out)
+
+    sides = joined.mapInArrow(contexts, "v long, part long, side int, doc_id long, at int, seed int, places binary")
+    length = min_words - size + 1
 
-    n = partitions(spark)
-    dealt = sides.repartition(n, "source_id", "part").sortWithinPartitions("source_id", "part", "side", "doc_id", "at")
-    proven = dealt.mapInArrow(compare, "doc_id long, start long, end long, source_id long, source_start long, source_end long, similarity double")
-    return proven.dropDuplicates(["doc_id", "start", "end", "source_id"])
+    def compare(batches):
+        key, holders, index, counts = None, [], None, None
+        for batch in batches:
+            out = []
+            for v, part, side, doc_id, at, seed, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                if (v, part) != key:
+                    key, holders, index = (v, part), [], None
+                h = np.frombuffer(raw, np.uint64)
+                if side == 0:
+                    holders.append((doc_id, at, h))
+                    continue
+                if not holders or holders[0][0] >= doc_id:
+                    continue
+                if index is None:
+                    index = _Counter([np.unique(x) for *_, x in holders])
+                own = np.unique(h)
+                counts = np.searchsorted(index.flat, own, "right") - np.searchsorted(index.flat, own, "left")
+                need = needed(h, length)
+                # Of all but need - 1 of its shingles, the rarest here, a similar holder has one.
+                rare = own[np.argsort(counts, kind="stable")[: len(own) - need + 1]]
+                may = np.flatnonzero(index.shared(rare))
+                for j in may.tolist():
+                    source_id, there, source = holders[j]
+                    if source_id >= doc_id:
+                        break
+                    if np.isin(own, source).sum() < need:
+                        continue
+                    got = [(doc_id, at + a, at + b + size, source_id, there + c, there + d + size, s) for a, b, c, d, s in passages(source, h, size, min_words)]
+                    out += got
+                    if any(x[1] <= seed and seed + SEED <= x[2] for x in got):
+                        break
+            if out:
+                yield _spans(out)
+
+    dealt = sides.repartition(partitions(docs.sparkSession), "v", "part").sortWithinPartitions("v", "part", "side", "doc_id", "seed")
+    return dealt.mapInArrow(compare, _SPANS)
+
+
+def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
+    """Passages that repeat: doc_id, start and end (words, end exclusive), source_id, source_start, source_end, similarity.
+
+    docs (doc_id, text) is a stored table.  source_id, always smaller than doc_id, holds the passage too.
+    Rows without doc_id, and null, empty and short texts take no part; repeats inside one document
+    aren't reported; rows that repeat a doc_id count as one document; other columns are left out.
+    """
+    every = written(seeds(docs), "seeds")
+    shared = every.groupBy("v").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("source_id <> last").select("v", "source_id", "n")
+    found = written(every.join(shared, "v").where("doc_id <> source_id"), "found")
+    first = written(_of_smallest(docs, found.select("doc_id", "at", "source_id"), size, min_words), "first")
+    # Seeds with holders beside the smallest, and whether a proven passage has them.
+    rest = found.where("n > 2").select("v", "doc_id", "at")
+    spans = first.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # as many as the document has
+    within = F.exists("spans", lambda x: (x["start"] <= F.col("at")) & (F.col("at") + SEED <= x["end"]))
+    marked = written(rest.join(spans, "doc_id", "left").select("v", "doc_id", "at", (~F.coalesce(within, F.lit(False))).alias("left")), "marked")
+    some = marked.groupBy("v").agg(F.min("doc_id").alias("low"), F.max(F.when(F.col("left"), F.col("doc_id"))).alias("high")).where("low < high")
+    others = marked.join(some, "v").where("left or doc_id < high").select("v", "doc_id", "at", (F.col("left") & (F.col("doc_id") > F.col("low"))).alias("left"))
+    second = _of_others(docs, written(others, "others"), size, min_words)
+    return first.unionByName(second).dropDuplicates(["doc_id", "start", "end", "source_id"])
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -317,6 +317,26 @@ def test_repeats(stored, spark):
     assert substrings.cut_words("a b  c\nd e", [(1, 2), (3, 4)]) == "a c\ne"
 
 
+def test_repeats_go_on_from_a_smallest_holder_of_a_part(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    word = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(n))
+    passage = word(60)
+    rows = [(3, word(40) + " " + " ".join(passage.split()[:45]) + " " + word(40))]
+    rows += [(d, word(30) + " " + passage + " " + word(30)) for d in (20, 30, 40)]
+    # Documents that hold pieces of another passage each, before those that hold all of it.
+    other = word(120)
+    rows += [(4 + i, word(30) + " " + " ".join(other.split()[a : a + 44]) + " " + word(30)) for i, a in enumerate(range(0, 80, 20))]
+    rows += [(50, word(30) + " " + other + " " + word(30)), (60, other)]
+    at = f"file://{tmp_path}/t"
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(at)
+    for size in (substrings.GROUP_ROWS, 1):
+        monkeypatch.setattr(substrings, "GROUP_ROWS", size)
+        held = defaultdict(set)
+        for r in substrings.repeats(spark.read.parquet(at)).collect():
+            held[r["doc_id"]] |= set(range(r["start"], r["end"]))
+        assert dict(held) == {30: set(range(30, 90)), 40: set(range(30, 90)), 60: set(range(120))}
+
+
 def test_toxicity(spark, stored):
     rng = random.Random(3)
     bad = ["moron", "idiot", "vequta", "vequmo"]
