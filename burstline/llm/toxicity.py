@@ -4,8 +4,8 @@ A word's vector is the sum of hashed embeddings of the word and of its beginning
 several widths slide over the whole text, the maximum of each over all places feeds a logistic
 output.  The model is fitted on the driver from a bounded sample of labelled rows (PER_LABEL a
 label, taken by the hash of doc_id); scoring reads every text in full, once, without a shuffle.
-Thresholds by language are calibrated on rows that the fit hasn't seen; the score itself knows
-text only.
+Thresholds by language are calibrated on all labelled rows that the fit hasn't seen, by a histogram
+of their scores; the score itself knows text only.
 """
 
 from __future__ import annotations
@@ -34,8 +34,12 @@ LEAST_DOCS = 3
 #: Share of the log odds that embeddings start with.
 ODDS = 0.2
 PREDICT = 0.7
-#: One row in so many of the sample calibrates.
+#: One labelled row in so many is never fitted, so that small tables have rows to calibrate with.
 CALIBRATE = 6
+#: Ranges of scores that thresholds are chosen from.
+BINS = 1000
+#: Labelled rows that may be broadcast; beyond it all texts are scored and the scores joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Words that a task remembers.
 REMEMBERED = 250_000
 
@@ -190,39 +194,71 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)), F.lit(1)).cast("int")
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, int, str, bool]]:
-    """At most `per_label` texts of each label, without the held-out rows: text, label, lang, and whether it calibrates."""
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic, apart) without the held-out rows, one a doc_id; rows that are apart are never fitted."""
     apart = F.crc32(F.concat(F.lit("c"), F.col("doc_id").cast("string")).cast("binary")) % CALIBRATE == 0
-    own = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", "toxic", apart.alias("apart"))
+    own = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 1))
+    return own.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"), F.first(apart).alias("apart"))
+
+
+def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> list[tuple[str, int, int]]:
+    """At most `per_label` texts of each label for the fit: text, label and doc_id."""
+    own = labelled(labels).where("not apart")
     picked = [own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for y in (0, 1)]
-    few = picked[0].unionByName(picked[1]).dropDuplicates(["doc_id"])  # 2 * per_label rows at most
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    rows = texts(docs.withColumn("_lang", lang), "_lang").join(F.broadcast(few), "doc_id")
-    return [(r["text"], r["toxic"], r["_lang"], r["apart"]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * per_label).collect()]
+    few = picked[0].unionByName(picked[1])  # 2 * per_label rows at most
+    rows = texts(docs).join(F.broadcast(few), "doc_id")
+    return [(r["text"], r["toxic"], r["doc_id"]) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * per_label).collect()]
+
+
+def histogram(docs: DataFrame, labels: DataFrame, model: Model, fitted: list[int]) -> list[tuple[str, int, int, int, int]]:
+    """(lang, toxic, bin, n, all) over every labelled row that is neither held out nor fitted: rows of each of BINS
+    ranges of scores, and all rows of that language and label, also the fitted ones."""
+    spark = docs.sparkSession
+    own = labelled(labels)
+    few = own.count() <= BROADCAST_IDS
+    ids = spark.createDataFrame([(x,) for x in fitted], "doc_id long").distinct().withColumn("fitted", F.lit(True))
+    rows = texts(docs, F.col("lang").cast("string").alias("lang")).where((fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull())
+    if few:  # else all of them are scored, so that no text is shuffled
+        rows = rows.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi")
+    scored = score(rows, model).select("doc_id", "lang", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
+    joined = scored.join(F.broadcast(own) if few else own, "doc_id").join(F.broadcast(ids), "doc_id", "left")
+    fitted_bin = F.when(F.col("fitted"), -1).otherwise(F.col("bin")).alias("bin")
+    got = [tuple(r) for r in joined.groupBy("lang", "toxic", fitted_bin).agg(F.count("*").alias("n")).collect()]
+    every: dict[tuple[str, int], int] = {}
+    for lang, y, _, n in got:
+        every[lang, y] = every.get((lang, y), 0) + n
+    return [(lang, y, at, n, every[lang, y]) for lang, y, at, n in got if at >= 0]
+
+
+def calibrated(rows: list[tuple[str, int, int, int, int]]) -> dict[str, float]:
+    """The threshold of best F1 by language, at the mix of labels that all rows have; none for a language with fewer than 5 rows of a label."""
+    out = {}
+    for lang in sorted({r[0] for r in rows}):
+        n, every, bins = [0, 0], [0, 0], {}
+        for _, y, at, k, total in (r for r in rows if r[0] == lang):
+            n[y] += k
+            every[y] = total
+            bins.setdefault(at, [0, 0])[y] += k
+        if min(n) < 5:
+            continue
+        weight = [every[y] / n[y] for y in (0, 1)]
+        left, best, below = list(n), (0.0, PREDICT), -1
+        for at in sorted(bins):
+            hits, said = left[1] * weight[1], left[0] * weight[0] + left[1] * weight[1]
+            if (f1 := 2 * hits / (every[1] + said)) > best[0]:
+                best = (f1, (at + below + 1) / 2 / BINS)
+            left = [left[y] - bins[at][y] for y in (0, 1)]
+            below = at
+        out[lang] = best[1]
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """Fits on most of the sample and calibrates each language's threshold on the rest (best F1; PREDICT where a language has fewer than 5 of a label there)."""
+    """Fits on the sample and calibrates each language's threshold on all other labelled rows that aren't held out (best F1; PREDICT where a language has fewer than 5 of a label there)."""
     rows = sample(docs, labels, per_label)
-    model = fit([(t, y) for t, y, _, apart in rows if not apart])
-    rest = [(t, y, lang) for t, y, lang, apart in rows if apart]
-    if rest:
-        got, known, projected = [], Words(), np.zeros((0, FILTERS * sum(WIDTHS)), np.float32)
-        for at in range(0, len(rest), 64):
-            s, projected = scores(model, [t for t, *_ in rest[at : at + 64]], known, projected)
-            got.extend(s.tolist())
-        for lang in {x for *_, x in rest if x is not None}:
-            own = sorted((s, y) for s, (_, y, x) in zip(got, rest) if x == lang)
-            positive = sum(y for _, y in own)
-            if min(positive, len(own) - positive) < 5:
-                continue
-            best, left = (0.0, PREDICT), positive
-            for i, (s, y) in enumerate(own):
-                if (f1 := 2 * left / (positive + len(own) - i)) > best[0]:
-                    below = own[i - 1][0] if i else 0.0
-                    best = (f1, (s + below) / 2)
-                left -= y
-            model.thresholds[lang] = best[1]
+    model = fit([(t, y) for t, y, _ in rows])
+    if "lang" in docs.columns and rows:
+        model.thresholds = calibrated(histogram(docs, labels, model, [x for *_, x in rows]))
     return model
 
 

@@ -353,6 +353,23 @@ def test_toxicity(spark, stored):
     assert toxicity.score(docs, toxicity.train(docs, labels.limit(0))).where("toxic = 1").count() == 0
 
 
+def test_toxicity_thresholds_see_every_labelled_row(spark):
+    # Clean texts are many, and a third of them holds a bad word: the mix decides the best threshold.
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 12) + (" moron" if i % 10 == 0 or i % 3 == 0 else ""), int(i % 10 == 0), "fr" if i % 40 in (0, 1) else "en") for i in range(4000)]
+    docs = spark.createDataFrame([(i, t, lang) for i, t, _, lang in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y, _ in rows], "doc_id long, quality int, toxic int")
+    fitted = toxicity.sample(docs, labels, 60)
+    model = toxicity.train(docs, labels, 60)
+    assert len(fitted) == 120 and set(model.thresholds) == {"en", "fr"}
+    live = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    got = toxicity.histogram(docs, labels, model, [x for *_, x in fitted])
+    assert sum(n for *_, n, _ in got) == len(live) - 120
+    every = {(lang, y): n for lang, y, _, _, n in got}
+    assert every == {(lang, y): sum(r[2:] == (y, lang) for r in live) for lang in ("en", "fr") for y in (0, 1)}
+    assert toxicity.calibrated([("en", 1, 900, 10, 10), ("en", 0, 100, 1000, 1000), ("en", 0, 700, 10, 10)]) == {"en": 0.8005}
+
+
 def test_quality(spark, stored):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(WORDS) + ("***" if i % 3 == 0 else "!" if i % 3 == 1 else "") for _ in range(50)), i % 3) for i in range(450)]
