@@ -84,7 +84,9 @@ def names_in_texts(texts: DataFrame, names: DataFrame, least: float = 0.8) -> Da
     name. The longest part stands for a name. texts: (text_id, tokens); names: (name_id, tokens).
     """
     size = F.size("tokens")
-    parts = names.where(size > 0).select("name_id", size.alias("size"), F.explode(T.ngrams(F.col("tokens"), 10)).alias("g")).where(F.round(F.col("g.n") / F.col("size"), 2) >= least).select("name_id", "size", "g.n", "g.gram").distinct()
+    long = F.filter(F.sequence(F.lit(1), size), lambda n: F.round(n / size, 2) >= least)
+    part = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.struct(n.alias("n"), F.array_join(F.slice("tokens", i, n), " ").alias("gram")))
+    parts = names.where(size > 0).select("name_id", size.alias("size"), F.explode(F.flatten(F.transform(long, part))).alias("g")).select("name_id", "size", "g.n", "g.gram").distinct()
     lengths = parts.agg(F.coalesce(F.max("n"), F.lit(1)).alias("m")).first()["m"]
     grams = texts.select("text_id", F.explode(T.ngrams(F.col("tokens"), lengths)).alias("g")).select("text_id", F.col("g.gram").alias("gram"))
     best = grams.join(parts, "gram").groupBy("text_id", "name_id").agg(F.max_by(F.struct("gram", "n", "size"), F.struct("n", "gram")).alias("b"))

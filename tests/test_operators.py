@@ -2,7 +2,7 @@
 
 import random
 
-from burstline.operators import affix, events, graph, learn, segment
+from burstline.operators import affix, evaluate, events, graph, learn, segment
 from burstline.streaming import days
 from pyspark.sql import functions as F
 
@@ -96,3 +96,11 @@ def test_late_rows_go(spark):
     df = spark.createDataFrame([(i * 3000, f"2024-01-0{d} 10:00:00") for i, d in enumerate(days_)], "at long, ts string").withColumn("ts", F.to_timestamp("ts"))
     got = sorted(r["at"] // 3000 for r in days.late_dropped(df, "at", "ts").collect())
     assert got == [0, 1, 3, 4, 6]
+
+
+def test_names_of_any_length(spark):
+    name = " ".join(f"w{i}" for i in range(15))
+    names = spark.createDataFrame([("one", ["acme"]), (name, name.split())], "name_id string, tokens array<string>")
+    texts = spark.createDataFrame([(1, "buys acme today".split()), (2, name.split()), (3, ["x", *name.split()[2:14]]), (4, name.split()[:11])], "text_id long, tokens array<string>")
+    got = {(r["text_id"], r["name_id"]): (r["gram"], r["fraction"]) for r in evaluate.names_in_texts(texts, names).collect()}
+    assert got == {(1, "one"): ("acme", 1.0), (2, name): (name, 1.0), (3, name): (" ".join(name.split()[2:14]), 0.8)}
