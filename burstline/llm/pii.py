@@ -4,8 +4,8 @@ The base detectors read the text as it is.  Where a text holds signs of a disgui
 transducers rewrites it (look-alike and full-width letters to ASCII, invisible characters away,
 "[at]" and "(dot)" to @ and ., spelled digits to digits) and carries for every output character
 the source range it came from.  The same detectors run over the rewritten text, and what they
-find is mapped back to source characters.  Spans that a disguise made possible are added; base
-spans always stay.
+find is mapped back to source characters.  Spans that a disguise made possible are added, also
+where they hold a base span and more; base spans always stay.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -221,10 +221,11 @@ def find(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
         own = base[kind]
         new = {s for x in f(m.text) if (s := m.source(x)) and text[s[0] : s[1]] != m.text[x[0] : x[1]]}
         out, last = list(own), sorted(own)
-        starts = [a for a, _ in last]
+        starts, ends = [a for a, _ in last], [b for _, b in last]
         for a, b in sorted(new):
-            i = bisect_left(starts, b)
-            if i == 0 or last[i - 1][1] <= a:  # base spans don't overlap: the one before b is the only one to look at
+            # Base spans don't overlap: those that meet a..b are neighbours.  A span stays if it meets none, or holds all that it meets and more.
+            i, j = bisect_right(ends, a), bisect_left(starts, b)
+            if i >= j or a <= starts[i] and ends[j - 1] <= b and (a, b) != last[i]:
                 out.append((a, b))
         every[kind] = sorted(out)
     return base, every

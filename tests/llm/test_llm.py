@@ -143,6 +143,20 @@ def test_pii_disguises(text, kind, found):
     assert [text[a:b] for a, b in every[kind]] == [found]
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "base", "found"),
+    [
+        ("to \u0430lice@example.com now", "email", "lice@example.com", "\u0430lice@example.com"),
+        ("to alice@mail.example [dot] com now", "email", "alice@mail.example", "alice@mail.example [dot] com"),
+        ("call +49 170 1234 five six seven 8 now", "phone", "+49 170 1234", "+49 170 1234 five six seven 8"),
+    ],
+)
+def test_pii_partly_disguised(text, kind, base, found):
+    own, every = pii.find(text)
+    assert [text[a:b] for a, b in own[kind]] == [base] and sorted(text[a:b] for a, b in every[kind]) == sorted([base, found])
+    assert pii.redact_text(text) == text.replace(found, f"<{kind}>")
+
+
 def test_pii_tables(stored):
     assert pii.detect(stored["odd"]).count() == len(ODD) and pii.detect(stored["none"]).count() == 0
     assert pii.redact(stored["odd"]).columns == stored["odd"].columns and pii.redact(stored["odd"]).where("text is null").count() == 1
