@@ -70,7 +70,8 @@ class Best:
             low, high = near.bounds(own.astype(np.float64))
             if not exact_bounds:  # beyond what doubles hold, every row is read
                 low, high = np.full_like(low, -np.inf), np.full_like(high, np.inf)
-            kth = np.partition(low, -(self.k + 1), 1)[:, -(self.k + 1)] if low.shape[1] > self.k else np.full(len(own), -np.inf)  # one more: the query's own row may be among them
+            low[self.ids[at : at + QUERY_ROWS, None] == ids] = -np.inf  # the query's own rows don't count
+            kth = np.partition(low, -self.k, 1)[:, -self.k] if low.shape[1] >= self.k else np.full(len(own), -np.inf)
             for i in range(len(own)):
                 best = self.rows[at + i]
                 floor = max(kth[i], -best[-1][0] if len(best) == self.k else -np.inf)

@@ -109,6 +109,17 @@ def test_topk(spark):
     assert topk.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_with_copies_of_the_query():
+    rng = np.random.default_rng(2)
+    v = rng.integers(-50, 50, (400, 6))
+    v[:15] = 900  # rows of the query's own id, longer than all others
+    ids = np.array([7] * 15 + list(range(100, 485)), np.int64)
+    best = topk.Best(np.array([7], np.int64), v[:1], 10)
+    best.take(ids, v)
+    want = sorted((-int(a @ v[0]), int(i)) for i, a in zip(ids, v) if i != 7)[:10]
+    assert best.rows == [want]
+
+
 def test_pii_base_is_the_patterns():
     base = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
