@@ -114,6 +114,51 @@ def regions_of(at: list[int], n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _alike(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and the union of two sorted sets."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both, len(x) + len(y) - both
+
+
+def stretches(source: np.ndarray, own: np.ndarray, run: np.ndarray, least: int) -> list[tuple[int, int, int, int, float]]:
+    """The longest similar stretches of at least `least` places within a run of own's places that source has too, apart from each other."""
+    order = np.argsort(source, kind="stable")
+    lo, hi = (np.searchsorted(source[order], own[run], side).tolist() for side in ("left", "right"))
+    at: list[int] = []
+    for i, a, b in zip(run.tolist(), lo, hi):  # of several places in the source the one that goes on
+        there = order[a:b]
+        at.append(int(there[0] if len(there) == 1 or not at else there[np.abs(there - (at[-1] + i - before)).argmin()]))
+        before = i
+    there = np.array(at)
+    cuts = np.flatnonzero((np.diff(run) != 1) | (np.diff(there) != 1)) + 1
+    first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(run)]]) - 1
+    out, stack = [], [(0, len(first))]
+    while stack:
+        lo, hi = stack.pop()
+        if lo >= hi or run[last[hi - 1]] - run[first[lo]] + 1 < least:
+            continue
+        best = (0, 0, 0)
+        for k in range(lo, hi):
+            ends = last[k:hi]
+            if run[ends[-1]] - run[first[k]] + 1 <= max(best[0], least - 1):
+                break
+            n, m, both = run[ends] - run[first[k]] + 1, there[ends] - there[first[k]] + 1, ends - first[k] + 1
+            ok = np.flatnonzero((n >= least) & (m > 0) & (100 * both >= SIMILAR * (n + m - both)))
+            if len(ok) and n[ok[-1]] > best[0]:
+                best = (int(n[ok[-1]]), k, k + int(ok[-1]))
+        if not best[0]:
+            continue
+        _, k, e = best
+        a, b, c, d = int(run[first[k]]), int(run[last[e]]), int(there[first[k]]), int(there[last[e]])
+        both, union = _alike(np.unique(own[a : b + 1]), np.unique(source[c : d + 1]))
+        if 100 * both >= SIMILAR * union:
+            out.append((a, b, c, d, both / union))
+        elif e > k:  # repeated shingles count once: shorter ones may still do
+            stack += [(k, (k + e + 1) // 2), ((k + e + 1) // 2, e + 1)]
+        stack += [(lo, k), (e + 1, hi)]
+    return out
+
+
 def passages(source: np.ndarray, own: np.ndarray, size: int = SHINGLE, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, float]]:
     """Proven passages of `own` in `source`: first and last place in both, and the similarity of their shingle sets."""
     values = np.unique(source)
@@ -132,11 +177,14 @@ def passages(source: np.ndarray, own: np.ndarray, size: int = SHINGLE, min_words
             there = np.flatnonzero(np.isin(source, x))
             # The stretch of the source that shares the most: a shingle may stand there often.
             near = max(np.split(there, np.flatnonzero(np.diff(there) > gap) + 1), key=len)
-            y = np.unique(source[near[0] : near[-1] + 1])
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= SIMILAR * (len(x) + len(y) - both):
-                out.append((a, b, int(near[0]), int(near[-1]), both / (len(x) + len(y) - both)))
+            both, union = _alike(x, np.unique(source[near[0] : near[-1] + 1]))
+            if 100 * both >= SIMILAR * union:
+                out.append((a, b, int(near[0]), int(near[-1]), both / union))
                 kept.append(run)
+            elif gap > 1:
+                for part in stretches(source, own, run, min_words - size + 1):
+                    out.append(part)
+                    kept.append(run[(run >= part[0]) & (run <= part[1])])
         if kept:
             hit = np.setdiff1d(hit, np.concatenate(kept), assume_unique=True)
     return sorted(out)
@@ -247,7 +295,7 @@ def _of_others(docs: DataFrame, found: DataFrame, size: int, min_words: int) ->
     length = min_words - size + 1
 
     def compare(batches):
-        key, holders, index, counts = None, [], None, None
+        key, holders, index, ids = None, [], None, None
         for batch in batches:
             out = []
             for v, part, side, doc_id, at, seed, raw in zip(*(c.to_pylist() for c in batch.columns)):
@@ -260,19 +308,19 @@ def _of_others(docs: DataFrame, found: DataFrame, size: int, min_words: int) ->
                 if not holders or holders[0][0] >= doc_id:
                     continue
                 if index is None:
-                    index = _Counter([np.unique(x) for *_, x in holders])
+                    index, ids = _Counter([np.unique(x) for *_, x in holders]), np.array([x for x, *_ in holders])
                 own = np.unique(h)
                 counts = np.searchsorted(index.flat, own, "right") - np.searchsorted(index.flat, own, "left")
                 need = needed(h, length)
                 # Of all but need - 1 of its shingles, the rarest here, a similar holder has one.
                 rare = own[np.argsort(counts, kind="stable")[: len(own) - need + 1]]
                 may = np.flatnonzero(index.shared(rare))
-                for j in may.tolist():
+                may = may[ids[may] < doc_id]
+                if not len(may):
+                    continue
+                both = index.shared(own)[may]
+                for j in may[np.argsort(-both, kind="stable")][: int((both >= need).sum())].tolist():  # what has most in common first
                     source_id, there, source = holders[j]
-                    if source_id >= doc_id:
-                        break
-                    if np.isin(own, source).sum() < need:
-                        continue
                     got = [(doc_id, at + a, at + b + size, source_id, there + c, there + d + size, s) for a, b, c, d, s in passages(source, h, size, min_words)]
                     out += got
                     if any(x[1] <= seed and seed + SEED <= x[2] for x in got):
@@ -284,6 +332,13 @@ def _of_others(docs: DataFrame, found: DataFrame, size: int, min_words: int) ->
     return dealt.mapInArrow(compare, _SPANS)
 
 
+def _left(rows: DataFrame, proven: DataFrame) -> DataFrame:
+    """rows (v, doc_id, at, left) with left false for seeds that a proven passage holds."""
+    spans = proven.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # as many as the document has
+    within = F.exists("spans", lambda x: (x["start"] <= F.col("at")) & (F.col("at") + SEED <= x["end"]))
+    return written(rows.join(spans, "doc_id", "left").select("v", "doc_id", "at", (F.col("left") & ~F.coalesce(within, F.lit(False))).alias("left")), "left")
+
+
 def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
     """Passages that repeat: doc_id, start and end (words, end exclusive), source_id, source_start, source_end, similarity.
 
@@ -296,14 +351,16 @@ def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS) ->
     found = written(every.join(shared, "v").where("doc_id <> source_id"), "found")
     first = written(_of_smallest(docs, found.select("doc_id", "at", "source_id"), size, min_words), "first")
     # Seeds with holders beside the smallest, and whether a proven passage has them.
-    rest = found.where("n > 2").select("v", "doc_id", "at")
-    spans = first.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # as many as the document has
-    within = F.exists("spans", lambda x: (x["start"] <= F.col("at")) & (F.col("at") + SEED <= x["end"]))
-    marked = written(rest.join(spans, "doc_id", "left").select("v", "doc_id", "at", (~F.coalesce(within, F.lit(False))).alias("left")), "marked")
+    rest = _left(found.where("n > 2").select("v", "doc_id", "at").withColumn("left", F.lit(True)), first)
+    # The smallest of those that aren't proven speaks for most of the others; then each with all holders.
+    hubs = rest.where("left").groupBy("v").agg(F.min("doc_id").alias("source_id"))
+    next_ = written(rest.where("left").join(hubs, "v").where("doc_id > source_id").select("doc_id", "at", "source_id"), "next")
+    second = written(_of_smallest(docs, next_, size, min_words), "second")
+    marked = _left(rest, second)
     some = marked.groupBy("v").agg(F.min("doc_id").alias("low"), F.max(F.when(F.col("left"), F.col("doc_id"))).alias("high")).where("low < high")
     others = marked.join(some, "v").where("left or doc_id < high").select("v", "doc_id", "at", (F.col("left") & (F.col("doc_id") > F.col("low"))).alias("left"))
-    second = _of_others(docs, written(others, "others"), size, min_words)
-    return first.unionByName(second).dropDuplicates(["doc_id", "start", "end", "source_id"])
+    third = _of_others(docs, written(others, "others"), size, min_words)
+    return first.unionByName(second).unionByName(third).dropDuplicates(["doc_id", "start", "end", "source_id"])
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:

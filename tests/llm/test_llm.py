@@ -362,6 +362,43 @@ def test_repeats_go_on_from_a_smallest_holder_of_a_part(spark, tmp_path, monkeyp
         assert dict(held) == {30: set(range(30, 90)), 40: set(range(30, 90)), 60: set(range(120))}
 
 
+def test_passages_within_failed_runs():
+    rng = np.random.default_rng(5)
+    h = rng.integers(1, 1 << 60, 400).astype(np.uint64)
+    source, own = h[:300].copy(), rng.integers(1, 1 << 60, 150).astype(np.uint64)
+    own[20:70] = source[100:150]
+    own[40:45] = rng.integers(1, 1 << 60, 5).astype(np.uint64)
+    own[84] = source[290]  # a stray shared shingle 14 places away
+    source[280:290] = own[20:30]  # and a piece of the passage elsewhere
+    assert [x[:4] for x in substrings.passages(source, own)] == [(20, 69, 100, 149)]
+    # Two edited passages of one source, next to each other and in the other order.
+    own = np.concatenate([source[200:260], source[20:80]])
+    own[30:35], own[90:95] = rng.integers(1, 1 << 60, (2, 5)).astype(np.uint64)
+    assert [x[:4] for x in substrings.passages(source, own)] == [(0, 59, 200, 259), (60, 119, 20, 79)]
+
+
+def test_repeats_find_edited_passages(spark, tmp_path):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    rows, want = [], {}
+    for i in range(400):
+        own = [word() for _ in range(rng.randint(50, 60))]
+        edited, at = list(own), rng.randrange(len(own))
+        edited[at : at + rng.choice([0, 1, 1])] = [word()] * rng.choice([0, 1, 1])
+        sets = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (own, edited)]
+        rows += [(2 * i, " ".join([*(word() for _ in range(30)), *own, *(word() for _ in range(30))])), (2 * i + 1, " ".join([*(word() for _ in range(20)), *edited, *(word() for _ in range(20))]))]
+        # Ends that are no longer shared don't count: the passage is what lies between the first and the last shared shingle.
+        shared = [k for k in range(len(edited) - 4) if tuple(edited[k : k + 5]) in sets[0]]
+        there = [k for k in range(len(own) - 4) if tuple(own[k : k + 5]) in sets[1]]
+        x, y = ({tuple(t[k : k + 5]) for k in range(p[0], p[-1] + 1)} for t, p in ((edited, shared), (own, there)))
+        if len(x) >= 46 and 100 * len(x & y) >= 80 * len(x | y):
+            want[2 * i + 1] = (20 + shared[0], 20 + shared[-1] + 5)
+    at = f"file://{tmp_path}/t"
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(at)
+    got = {r["doc_id"]: (r["start"], r["end"]) for r in substrings.repeats(spark.read.parquet(at)).collect()}
+    assert len(want) > 250 and got == want
+
+
 def test_toxicity(spark, stored):
     rng = random.Random(3)
     bad = ["moron", "idiot", "vequta", "vequmo"]
