@@ -4,92 +4,96 @@ Best-fit decreasing looks at lengths only, and lengths are bounded by the capaci
 plan is made once, on the driver, from a histogram of at most `capacity` rows: documents of
 one length are placed together, and a segment tree over remaining capacities gives the
 tightest open bins in logarithmic time.  Bins with equal content form one group; the plan is a
-list of runs (length, ranks, first bin, offset) whose number depends on the capacity, not on
+list of runs (length, ranks, first bin, offset, documents a bin) whose number depends on the capacity, not on
 the corpus.  Ranks of documents within their length come from counters by partition and a
 running sum over the partitions, so that a length shared by a third of the corpus stays spread.
 """
 
 from __future__ import annotations
 
-import base64
+import heapq
+import os
+import struct
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
 
-import numpy as np
 import pyarrow as pa
 import public_tokenizers
-import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from .bpe import runs as spaced
 from .common import texts, written
 
-VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 #: The id that ends every document.
 END = 2
 #: Chunks of text that a task remembers with their ids; beyond it the memory starts anew.
 REMEMBERED = 400_000
+#: Texts tokenized at once.
+TEXTS = 64
 
-#: White space before a space: only there can a pre-token reach over the cut before a space.
-_RUNS = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
+class Encoder:
+    """Texts → their ids as little-endian 32-bit bytes, by the tokenizer of a file.
 
-def _runs(text: str) -> bool:
-    return any(r in text for r in _RUNS)
-
-
-class _Chunks(dict):
-    """Chunk of text → its ids as little-endian 32-bit bytes."""
-
-    def __init__(self, path: str, pattern: str):
-        super().__init__()
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(None, map(bytes.strip, lines)))}
-        self.encode = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+    A cut before a space that follows no white space changes no pre-token, so texts are cut there
+    and each distinct chunk is tokenized once.  Where an added token stands in a text, it is
+    tokenized whole.
+    """
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        out = self[chunk] = np.array(self.encode(chunk), "<u4").tobytes()
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}
+
+    def _encode(self, values: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
+
+    def ids(self, values: list[str]) -> list[bytes]:
+        whole = [k for k, text in enumerate(values) if spaced(text) or any(x in text for x in self.added)]
+        out: list = [None] * len(values)
+        for k, raw in zip(whole, self._encode([values[k] for k in whole])):
+            out[k] = raw
+        cut = {k: [x for x in (first, *[" " + c for c in rest]) if x] for k, text in enumerate(values) if out[k] is None for first, *rest in (text.split(" "),)}
+        wanted = set().union(*cut.values())
+        new = list(wanted - self.known.keys())
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, new = {}, list(wanted)
+        self.known.update(zip(new, self._encode(new)))
+        for k, chunks in cut.items():
+            out[k] = b"".join(map(self.known.__getitem__, chunks))
         return out
 
-    def ids(self, text: str) -> bytes:
-        """Ids of a whole text.  A cut before a space that follows no white space changes no pre-token."""
-        if not text:
-            return b""
-        if _runs(text):
-            return np.array(self.encode(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        get = self.__getitem__
-        return get(first) + b"".join([get(" " + c) for c in rest]) if first else b"".join([get(" " + c) for c in rest])
-
 
 PIECES = "part int, doc_id long, piece int, start long, length int, local long, ids_crc32 long, ids binary"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = True, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = True, path: str | None = None) -> DataFrame:
     """PIECES of the tokenized documents; `local` counts equal lengths within the partition."""
-    path = path or public_tokenizers.path(RANKS)
+    path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
-        chunks, seen = _Chunks(path, pattern), defaultdict(int)
-        end = np.array([END], "<u4").tobytes()
+        encoder, seen, end = Encoder(path), defaultdict(int), struct.pack("<I", END)
         for batch in batches:
-            rows = []
-            for doc_id, text, part in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                raw = chunks.ids(text.as_py()) + end
-                n, at, k = len(raw) // 4, 0, 0
-                while at < n:
-                    size = (n % capacity if at == 0 else 0) or capacity
-                    own = raw[4 * at : 4 * (at + size)]
-                    rows.append((part, doc_id, k, at, size, seen[size], zlib.crc32(own), own if keep_ids else None))
-                    seen[size] += 1
-                    at, k = at + size, k + 1
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            cells = list(zip(*rows)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)], [x.split()[0] for x in PIECES.split(", ")])
+            for lo in range(0, batch.num_rows, TEXTS):
+                own = batch.slice(lo, TEXTS)
+                rows = []
+                for doc_id, raw, part in zip(own.column(0).to_pylist(), encoder.ids(own.column(1).to_pylist()), own.column(2).to_pylist()):
+                    raw += end
+                    n, at, k = len(raw) // 4, 0, 0
+                    while at < n:
+                        size = (n % capacity if at == 0 else 0) or capacity
+                        ids = raw[4 * at : 4 * (at + size)]
+                        rows.append((part, doc_id, k, at, size, seen[size], zlib.crc32(ids), ids if keep_ids else None))
+                        seen[size] += 1
+                        at, k = at + size, k + 1
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in PIECES.split(", ")])
 
     return texts(docs).withColumn("part", F.spark_partition_id()).mapInArrow(run, PIECES)
 
@@ -122,39 +126,49 @@ class SegmentTree:
         return i - self.n
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, tuple[list[int], list[int], list[int]]]:
-    """By length: first rank, first sequence and offset of each run of equal documents.
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[int, tuple[list[int], list[int], list[int], list[int]]]:
+    """By length, for each run of equal documents: first rank, first sequence, offset, and documents a sequence.
 
     Best-fit decreasing: lengths from the longest, each document into the open bin with the least
-    room that suffices, else into a new one.  Documents of one length are exchangeable, so a
-    group of equal bins takes as many at once as it has bins.
+    room that suffices (of equal ones the first), else into a new one.  A bin that has just taken a
+    document is the tightest for the next of that length as long as it holds one more, so a bin takes
+    all of a length that it can before the next is touched, and a group of equal bins is filled in one step.
     """
-    groups: dict[int, list[tuple[int, int]]] = defaultdict(list)  # remaining capacity → (first sequence, bins)
+    groups: dict[int, list[tuple[int, int]]] = defaultdict(list)  # remaining capacity → heap of (first sequence, bins)
     tree, runs, bins = SegmentTree(capacity), {}, 0
+
+    def put(room: int, first: int, count: int) -> None:
+        if count:
+            heapq.heappush(groups[room], (first, count))
+            tree.set(room, True)
+
     for size in sorted(histogram, reverse=True):
         if not 0 < size <= capacity:
             raise ValueError(f"length {size} is not in 1..{capacity}")
         left, rank = histogram[size], 0
-        own = runs[size] = ([], [], [])
+        own = runs[size] = ([], [], [], [])
         while left:
             room = tree.tightest(size)
             if room is None:
-                # New bins: as many as fill with this length, one document each first.
-                room, each = capacity, capacity // size
-                groups[room].append((bins, -(-left // each)))
-                bins += -(-left // each)
-                tree.set(room, True)
-            first, count = groups[room].pop()
-            took = min(left, count)
-            if took < count:
-                groups[room].append((first + took, count - took))
-            if not groups[room]:
-                tree.set(room, False)
-            groups[room - size].append((first, took))
-            tree.set(room - size, True)
-            for column, x in zip(own, (rank, first, capacity - room)):
-                column.append(x)
-            left, rank = left - took, rank + took
+                room, first, count = capacity, bins, -(-left // (capacity // size))
+                bins += count
+            else:
+                first, count = heapq.heappop(groups[room])
+                if not groups[room]:
+                    tree.set(room, False)
+            each = room // size
+            full = min(count, left // each)
+            rest = left - full * each if full < count else 0  # for one more bin, fewer than `each`
+            for took, per, at in ((full * each, each, first), (rest, rest, first + full)):
+                if took:
+                    for column, x in zip(own, (rank, at, capacity - room, per)):
+                        column.append(x)
+                    left, rank = left - took, rank + took
+            used = full + (rest > 0)
+            put(room - each * size, first, full)
+            if rest:
+                put(room - rest * size, first + full, 1)
+            put(room, first + used, count - used)
     return runs
 
 
@@ -172,10 +186,11 @@ def placed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             lengths, ranks = (batch.column(names.index(x)).to_pylist() for x in ("length", "rank"))
             sequences, offsets = [], []
             for size, rank in zip(lengths, ranks):
-                starts, first, at = runs[size]
+                starts, first, at, each = runs[size]
                 k = bisect_right(starts, rank) - 1
-                sequences.append(first[k] + rank - starts[k])
-                offsets.append(at[k])
+                bins, place = divmod(rank - starts[k], each[k])
+                sequences.append(first[k] + bins)
+                offsets.append(at[k] + place * size)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes)

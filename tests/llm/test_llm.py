@@ -175,26 +175,57 @@ def test_pii_tables(stored):
     pii.find("1" * 200_000), pii.find("a" * 200_000 + "@"), pii.find("+" * 50_000), pii.find("one " * 50_000)
 
 
-def _bins(items, capacity):
-    room = []
+def _layout(items, capacity):
+    """Plain best-fit decreasing, one item at a time: every bin's items in order."""
+    bins, room = [], []
     for x in sorted(items, reverse=True):
-        fit = [(r, i) for i, r in enumerate(room) if r >= x]
-        if fit:
-            room[min(fit)[1]] -= x
+        if fit := [(r, i) for i, r in enumerate(room) if r >= x]:
+            i = min(fit)[1]
         else:
-            room.append(capacity - x)
-    return len(room)
+            i = len(bins)
+            bins.append([])
+            room.append(capacity)
+        bins[i].append(x)
+        room[i] -= x
+    return bins
 
 
 def test_packing_plan_is_best_fit_decreasing():
-    for capacity in (7, 30, 100):
-        for _ in range(20):
-            items = [RNG.randint(1, capacity) for _ in range(RNG.randint(1, 200))]
-            runs = packing.plan({x: items.count(x) for x in set(items)}, capacity)
-            assert len({f + r for s, (at, first, _) in runs.items() for k, (a, f) in enumerate(zip(at, first)) for r in range((at[k + 1] if k + 1 < len(at) else items.count(s)) - a)}) == _bins(items, capacity)
+    for case in range(1500):
+        capacity = RNG.choice([7, 30, 100, 1024])
+        few = [RNG.randint(1, capacity) for _ in range(RNG.randint(1, 12))]
+        draw = RNG.choice([lambda: RNG.randint(1, capacity), lambda: RNG.choice(few), lambda: max(1, min(capacity, int(RNG.lognormvariate(5, 1))))])
+        items = [draw() for _ in range(RNG.randint(1, 120))]
+        got = defaultdict(list)
+        for size, (ranks, first, offset, each) in packing.plan({x: items.count(x) for x in set(items)}, capacity).items():
+            for k, rank in enumerate(ranks):
+                for r in range((ranks[k + 1] if k + 1 < len(ranks) else items.count(size)) - rank):
+                    got[first[k] + r // each[k]].append((offset[k] + r % each[k] * size, size))
+        want = _layout(items, capacity)
+        assert sorted(got) == list(range(len(want)))
+        for i, own in enumerate(want):
+            starts = [sum(own[:k]) for k in range(len(own))]
+            assert sorted(got[i]) == list(zip(starts, own))
+    assert {k: v for k, v in packing.plan({300: 4}, 1024).items()} == {300: ([0, 3], [0, 1], [0, 0], [3, 1])}
 
 
-def test_packing(stored, library):
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+def test_packing_ids_are_the_tokenizers(tokenizer):
+    encoder = packing.Encoder(P.path(packing.VOCABULARY))
+    parts = ["a", "b", " ", " ", ".", "'s", "é", "\n", "\t", "1", "!", "\x1c", "\x85", "\u3000", "🙂", "the ", "<|endoftext|>", "<|endof"]
+    values = ["".join(RNG.choice(parts) for _ in range(RNG.randint(0, 14))) for _ in range(4000)]
+    want = [tokenizer.encode(x, add_special_tokens=False).ids for x in values]
+    for lo in range(0, len(values), 100):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(values[lo : lo + 100])] == want[lo : lo + 100]
+
+
+def test_packing(stored, tokenizer):
     rows = packing.pack(stored["odd"], 64).collect()
     by, docs = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -209,7 +240,7 @@ def test_packing(stored, library):
     for d, t in ODD:
         if d != 11:
             own = sorted(docs[d])
-            assert [i for _, _, ids, _ in own for i in ids] == library.encode_ordinary(t or "") + [packing.END]
+            assert [i for _, _, ids, _ in own for i in ids] == tokenizer.encode(t or "", add_special_tokens=False).ids + [packing.END]
             assert all(len(ids) == 64 for _, _, ids, _ in own[1:]) and all(zlib.crc32(np.array(ids, "<u4").tobytes()) == c for _, _, ids, c in own)
     assert packing.pack(stored["none"]).count() == 0
 
