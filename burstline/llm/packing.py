@@ -17,7 +17,9 @@ import struct
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
@@ -31,18 +33,20 @@ VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 #: The id that ends every document.
 END = 2
-#: Chunks of text that a task remembers with their ids; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Chunks of text that a worker remembers with their ids; beyond it the memory starts anew.
+REMEMBERED = 700_000
 #: Texts tokenized at once.
 TEXTS = 64
+#: Chunks joined for one call of the tokenizer.
+CHUNKS = 64
 
 
 class Encoder:
     """Texts → their ids as little-endian 32-bit bytes, by the tokenizer of a file.
 
     A cut before a space that follows no white space changes no pre-token, so texts are cut there
-    and each distinct chunk is tokenized once.  Where an added token stands in a text, it is
-    tokenized whole.
+    and each distinct chunk is tokenized once, CHUNKS of them in one call: a token with a leading space
+    begins a chunk.  A text in which an added token stands is tokenized whole.
     """
 
     def __init__(self, path: str):
@@ -50,26 +54,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
-
-    def _encode(self, values: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(x.ids)}I", *x.ids) for x in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab()
+        space = self.tokenizer.pre_tokenizer.pre_tokenize_str(" ")[0][0]
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(space)]] = True
+
+    def _encode(self, values: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
+
+    def _chunks(self, chunks: list[str]) -> None:
+        """Tokenizes chunks, each with the space before it that is left out in `known`."""
+        alone = [c for c in chunks if not c or c[-1].isspace()]
+        self.known.update(zip(alone, [x.tobytes() for x in self._encode([" " + c for c in alone])]))
+        joined = [c for c in chunks if c not in self.known]
+        parts = [joined[k : k + CHUNKS] for k in range(0, len(joined), CHUNKS)]
+        for part, ids in zip(parts, self._encode([" " + " ".join(p) for p in parts])):
+            raw, at = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
+            if len(at) != len(part):
+                raise ValueError(f"{len(part)} chunks have become {len(at)}")
+            self.known.update(zip(part, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
 
     def ids(self, values: list[str]) -> list[bytes]:
         whole = [k for k, text in enumerate(values) if spaced(text) or any(x in text for x in self.added)]
         out: list = [None] * len(values)
-        for k, raw in zip(whole, self._encode([values[k] for k in whole])):
-            out[k] = raw
-        cut = {k: [x for x in (first, *[" " + c for c in rest]) if x] for k, text in enumerate(values) if out[k] is None for first, *rest in (text.split(" "),)}
+        for k, ids in zip(whole, self._encode([values[k] for k in whole])):
+            out[k] = ids.tobytes()
+        cut = {k: text.split(" ") for k, text in enumerate(values) if out[k] is None}
+        first = self._encode([chunks.pop(0) for chunks in cut.values()])
         wanted = set().union(*cut.values())
-        new = list(wanted - self.known.keys())
+        new = [c for c in wanted if c not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(wanted)
-        self.known.update(zip(new, self._encode(new)))
-        for k, chunks in cut.items():
-            out[k] = b"".join(map(self.known.__getitem__, chunks))
+            self.known.clear()
+            new = list(wanted)
+        self._chunks(new)
+        for (k, chunks), ids in zip(cut.items(), first):
+            out[k] = ids.tobytes() + b"".join(map(self.known.__getitem__, chunks))
         return out
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker."""
+    return Encoder(path)
+
+
 PIECES = "part int, doc_id long, piece int, start long, length int, local long, ids_crc32 long, ids binary"
 
 
@@ -78,12 +106,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = True, pat
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
-        encoder, seen, end = Encoder(path), defaultdict(int), struct.pack("<I", END)
+        encode, seen, end = encoder(path).ids, defaultdict(int), struct.pack("<I", END)
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 own = batch.slice(lo, TEXTS)
                 rows = []
-                for doc_id, raw, part in zip(own.column(0).to_pylist(), encoder.ids(own.column(1).to_pylist()), own.column(2).to_pylist()):
+                for doc_id, raw, part in zip(own.column(0).to_pylist(), encode(own.column(1).to_pylist()), own.column(2).to_pylist()):
                     raw += end
                     n, at, k = len(raw) // 4, 0, 0
                     while at < n:
