@@ -21,6 +21,8 @@ promise enough.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,18 +39,22 @@ SIMILAR = 80
 PART_ROWS, PART_VALUES = 2000, 1_000_000
 #: Ids that may be broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
-REMEMBERED = 400_000
+#: Texts, and bytes of them, hashed at once; a longer word makes a longer block.
+TEXTS, BLOCK_BYTES = 64, 1 << 22
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_STEP = 0xD6E8FEB86659FD93
+_WHITE = np.zeros(256, bool)
+_WHITE[[*range(9, 14), 32]] = True
+#: A number for each byte, the same for A-Z and a-z; words are polynomials of them.
+_BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTE[65:91] = _BYTE[97:123]
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+@lru_cache(4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64, and those of its inverse."""
+    return tuple(np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, x, np.uint64))]) for x in (_STEP, pow(_STEP, -1, 1 << 64)))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -57,22 +63,58 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(text: str, known: dict) -> np.ndarray:
-    """Hashes of the lower-cased (A-Z) words between ASCII white space."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def shingles(text: str, known: dict, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of `size` neighbouring words; of the whole sequence where there are fewer."""
-    w = word_hashes(text, known)
-    if not len(w):
-        return w
-    k = min(size, len(w))
-    h = np.full(len(w) - k + 1, k, np.uint64)
-    for i in range(k):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + mixed(w[i : len(w) - k + 1 + i])
-    return np.unique(mixed(h))
+def _block_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of data, which ends in white space."""
+    own = np.frombuffer(data, np.uint8)
+    change = np.flatnonzero(np.diff(_WHITE[own], prepend=True))
+    starts, ends = change[::2], change[1::2]
+    power, inverse = _powers(max(1 << 18, 1 << (len(own) - 1).bit_length()))
+    total = np.zeros(len(own) + 1, np.uint64)
+    np.cumsum(_BYTE[own] * power[: len(own)], out=total[1:])
+    return mixed((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def word_hashes(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased (A-Z) words between ASCII white space of some texts, one after the other, and words by text."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in values]
+    data, bounds = b"\n".join([*raw, b""]), np.cumsum([0, *(len(x) + 1 for x in raw)])
+    found, at = [], 0
+    while at < len(data):
+        end = at + BLOCK_BYTES
+        while end < len(data) and not _WHITE[data[end - 1]]:
+            end += 1
+        hashes, starts = _block_hashes(data[at:end])
+        found.append((hashes, starts + at))
+        at = end
+    hashes, starts = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return hashes, np.diff(np.searchsorted(starts, bounds))
+
+
+def _rolled(words: np.ndarray, size: int) -> np.ndarray:
+    h = np.full(len(words) - size + 1, size, np.uint64)
+    for i in range(size):
+        h = h * np.uint64(_STEP) + mixed(words[i : len(words) - size + 1 + i])
+    return mixed(h)
+
+
+def places(values: list[str], size: int) -> list[np.ndarray]:
+    """By text, the hash of the shingle of `size` words that starts at each word; none for fewer words."""
+    words, counts = word_hashes(values)
+    ends = np.cumsum(counts).tolist()
+    every = _rolled(words, size) if len(words) >= size else np.zeros(0, np.uint64)
+    return [every[end - n : max(end - n, end - size + 1)] for end, n in zip(ends, counts.tolist())]
+
+
+def shingles(values: list[str], size: int = SHINGLE) -> list[np.ndarray]:
+    """By text, the sorted distinct hashes of `size` neighbouring words; of the whole sequence where there are fewer."""
+    words, counts = word_hashes(values)
+    ends = np.cumsum(counts).tolist()
+    every = _rolled(words, size) if len(words) >= size else np.zeros(0, np.uint64)
+    out = []
+    for end, n in zip(ends, counts.tolist()):
+        own = words[end - n : end]
+        out.append(np.unique(every[end - n : end - size + 1]) if n >= size else _rolled(own, n) if n else own)
+    return out
 
 
 def needed(n: int, sketch: int = SKETCH) -> int:
@@ -86,14 +128,13 @@ def sketches(docs: DataFrame, size: int = SHINGLE, sketch: int = SKETCH) -> Data
     """(doc_id, n, set_id, sketch) of every row; set_id is a 128-bit hash of the whole set."""
 
     def run(batches):
-        known = _Hashes()
         for batch in batches:
             n, ids, kept = [], [], []
-            for text in batch.column(1):
-                own = shingles(text.as_py(), known, size)
-                n.append(len(own))
-                ids.append(xxhash.xxh3_128_digest(own.tobytes()))
-                kept.append(own[:sketch].tobytes())
+            for lo in range(0, batch.num_rows, TEXTS):
+                for own in shingles(batch.column(1).slice(lo, TEXTS).to_pylist(), size):
+                    n.append(len(own))
+                    ids.append(xxhash.xxh3_128_digest(own.tobytes()))
+                    kept.append(own[:sketch].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "n", "set_id", "sketch"])
 
     return texts(docs).mapInArrow(run, "doc_id long, n long, set_id binary, sketch binary")
@@ -205,9 +246,8 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(cid, members) of the rows whose doc_id and set are a class of ids (cid, set_id): its whole set."""
 
     def run(batches):
-        known = _Hashes()
         for batch in batches:
-            own = [shingles(t.as_py(), known, size) for t in batch.column(1)]
+            own = [x for lo in range(0, batch.num_rows, TEXTS) for x in shingles(batch.column(1).slice(lo, TEXTS).to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["cid", "set_id", "members"])
 
     few = ids.count() <= BROADCAST_IDS

@@ -1,19 +1,21 @@
-"""Passages that repeat across documents, by seeds.
-
-Seeds of a document are the places of its SEED-word shingles that have the smallest hash of some REACH
-neighbouring ones; they are the nodes of the Cartesian tree over the hashes with a range that long,
-about 2 n / REACH.  Every stretch of SEED + REACH - 1 words that two documents share word by word has a
-seed in both, at the same word.  A passage of MIN_WORDS words with SIMILAR hundredths of its shingles in
-common has room for so few changes that it holds such a stretch: what two documents share, their seeds
-show without chance.
-
-Each seed leads to the smallest document that holds it.  The documents' regions around seeds are
-compared with that source place by place: a region is proven if SIMILAR hundredths of the shingles
-agree over MIN_WORDS words.  A passage that a third of all documents hold costs each of them one
-comparison with its source.  Seeds that no proven passage holds go on, in groups by seed cut into
-parts, to all other smaller holders, until one proves them or none is left.  There only the rarest
-shingles of what stands around the seed are looked up: a short line that many documents have in common
-is not compared pair by pair.
+"""Passages that repeat across documents, by compact windows.
+
+Places of a document are its word shingles.  Under a hash function the Cartesian tree over the
+places' hashes groups all stretches of at least WINDOW places: a node stands for every such stretch
+around it that holds no smaller hash, and all of them share its hash as their minimum.  Nodes with a
+range that long are the places of the minima of all windows of WINDOW places, so numpy finds them
+without building the tree; about 2 n / WINDOW of them.
+
+A passage that two documents have in common makes windows of equal hash in both, under each function
+with the passages' similarity as its chance.  Windows meet by hash; where those of ENOUGH functions
+that one document shares with another overlap, the region around them is compared place by place with
+the other document.  A passage is proven if SIMILAR hundredths of the shingles agree over MIN_WORDS
+words.
+
+Every window is first compared with the smallest document that holds its hash, then, if no
+proven passage has it, with the smallest of those left over, and at last with all smaller holders of
+which enough shingles agree around the minimum.  So a passage that a third of all documents hold costs
+each of them one comparison, and a line that unlike documents share a count.
 """
 
 from __future__ import annotations
@@ -22,96 +24,108 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, texts, written
-from .minhash import SIMILAR, _Counter, _Hashes, mixed, word_hashes
-
-SHINGLE = 5
-#: Words of the shortest passage.
-MIN_WORDS = 50
-#: Words of a seed, and neighbouring ones of which the smallest hash is taken: together they stand in every 24 equal words.
-SEED, REACH = 10, 15
-#: Places to each side of a seed that are compared; regions of one document and source that are as near are one.
-AROUND = 64
+from .minhash import SIMILAR, TEXTS, _Counter, mixed, places
+
+SHINGLE, FUNCTIONS, ENOUGH = 5, 5, 2
+#: Words of the shortest passage, and places of the shortest window: as many as the passage has.
+MIN_WORDS, WINDOW = 50, 46
+#: Places to each side of windows shared with a source that are compared with it too.
+AROUND = 512
 #: Places without a match inside a passage: three changed words.
 GAP = 3 * SHINGLE
 #: Regions of documents that one task compares with a source.
-PART_ROWS = 500
-#: Holders of a seed in one part of its group.
+PART_ROWS = 300
+#: Holders of a hash in one part of its group.
 GROUP_ROWS = 1000
-#: Documents with passages whose places may be broadcast; beyond it they are joined by a shuffle.
-BROADCAST_DOCS = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-_NOISE = np.random.default_rng(11).integers(0, 1 << 16, 1 << 16, dtype=np.uint64)
-
-
-def places(text: str, known: dict, size: int = SHINGLE) -> np.ndarray:
-    """Hash of the shingle that starts at each word; none for fewer words than a shingle has."""
-    w = word_hashes(text, known)
-    if len(w) < size:
-        return w[:0]
-    h = np.full(len(w) - size + 1, size, np.uint64)
-    for i in range(size):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + mixed(w[i : len(w) - size + 1 + i])
-    return mixed(h)
+_NOISE = np.random.default_rng(11).integers(0, 1 << 12, 1 << 16, dtype=np.uint64) << np.uint64(6)
+_LOW = np.uint64(63)
 
 
-def compact_windows(h: np.ndarray, least: int = REACH) -> list[tuple[int, int, int]]:
-    """(place of the minimum, l, r) of every node of the Cartesian tree over at least `least` places.
+def compact_windows(h: np.ndarray, least: int = WINDOW, sizes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of the Cartesian tree over h with a range of at least `least` (64 at most) places: place, and first and last place of the windows it is the minimum of.
 
-    Equal hashes are told apart by noise, so that a text of one repeated word makes no chain.
+    With `sizes`, h holds the places of several texts one after the other.  Equal hashes are told
+    apart by noise, so that a text of one repeated word makes no chain.
     """
     n = len(h)
-    key = (h >> np.uint64(16) << np.uint64(16)) | np.resize(_NOISE, n) if n else h
-    out, stack = [], [(0, n)]
-    while stack:
-        lo, hi = stack.pop()
-        if hi - lo >= least:
-            c = lo + int(key[lo:hi].argmin())
-            out.append((c, lo, hi - 1))
-            if c - lo >= least:
-                stack.append((lo, c))
-            if hi - c - 1 >= least:
-                stack.append((c + 1, hi))
-    return out
-
-
-def seeds(docs: DataFrame, size: int = SEED, reach: int = REACH) -> DataFrame:
-    """(v, doc_id, at): the hash and the first word of each seed."""
+    if n < least:
+        return (np.zeros(0, np.int64),) * 3
+    at = np.arange(n, dtype=np.uint64)
+    key = h >> np.uint64(18) << np.uint64(18) | np.resize(_NOISE, n) | at & _LOW
+    blocks = np.full(-(-n // least) * least, np.iinfo(np.uint64).max)
+    blocks[:n] = key
+    blocks = blocks.reshape(-1, least)
+    before = np.minimum.accumulate(blocks, 1).ravel()
+    after = np.minimum.accumulate(blocks[:, ::-1], 1)[:, ::-1].ravel()
+    first = at[: n - least + 1]
+    low = np.minimum(after[: len(first)], before[least - 1 : n])
+    place = (first + ((low - first) & _LOW)).astype(np.int64)  # the low bits tell the place within a window
+    first = first.astype(np.int64)
+    if sizes is not None:  # no window reaches over the end of its text
+        ends = np.repeat(np.cumsum(sizes), sizes)[: len(first)]
+        inside = first + least <= ends
+        place, first = place[inside], first[inside]
+    if not len(place):
+        return (place,) * 3
+    starts = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+    ends = np.concatenate([starts[1:], [len(place)]]) - 1
+    return place[starts], first[starts], first[ends] + least - 1
+
+
+def _salted(h: np.ndarray, function: int) -> np.ndarray:
+    return mixed(h + np.uint64(0x9E3779B97F4A7C15 * (function + 1) & 0xFFFFFFFFFFFFFFFF))
+
+
+def text_id(text: str) -> int:
+    """64-bit hash of a text, signed: rows that share a doc_id but not their text are told apart by it."""
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def windows(docs: DataFrame, size: int = SHINGLE, functions: int = FUNCTIONS, least: int = WINDOW) -> DataFrame:
+    """(v, f, doc_id, text_id, c, l, r) of all compact windows; v is the hash under function f, c its place."""
+    names, kinds = ["v", "f", "doc_id", "text_id", "c", "l", "r"], "v long, f int, doc_id long, text_id long, c int, l int, r int"
 
     def run(batches):
-        known = _Hashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                own = batch.slice(lo, 64)
-                columns: list[list] = [[], [], []]
-                for doc_id, text in zip(own.column(0).to_pylist(), own.column(1)):
-                    h = places(text.as_py(), known, size)
-                    if len(h) < reach or doc_id is None:
-                        continue
-                    at = np.array([c for c, _, _ in compact_windows(h, reach)], np.int32)
-                    columns[0].append(h[at])
-                    columns[1].append(np.full(len(at), doc_id, np.int64))
-                    columns[2].append(at)
-                if columns[0]:
-                    v, d, at = (np.concatenate(c) for c in columns)
-                    yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(d), pa.array(at)], ["v", "doc_id", "at"])
-
-    return texts(docs).mapInArrow(run, "v long, doc_id long, at int")
-
-
-def regions_of(at: list[int], n: int) -> list[tuple[int, int]]:
-    """Stretches (first, end) of n places around seeds."""
-    out: list[tuple[int, int]] = []
-    for x in sorted(at):
-        a, b = max(0, x - AROUND), min(n, x + SEED + AROUND)
-        if out and a <= out[-1][1] + AROUND:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+            for lo in range(0, batch.num_rows, TEXTS):
+                own = batch.slice(lo, TEXTS)
+                values = own.column(1).to_pylist()
+                kept = [(d, t, h) for d, t, h in zip(own.column(0).to_pylist(), values, places(values, size)) if len(h) >= least and d is not None]
+                if not kept:
+                    continue
+                sizes = [len(h) for *_, h in kept]
+                ids, hashed = np.array([d for d, *_ in kept], np.int64), np.array([text_id(t) for _, t, _ in kept], np.int64)
+                every, ends = np.concatenate([h for *_, h in kept]), np.cumsum(sizes)
+                for f in range(functions):
+                    salted = _salted(every, f)
+                    c, l, r = compact_windows(salted, least, sizes)
+                    row = np.searchsorted(ends, c, "right")
+                    start = (ends - sizes)[row]
+                    columns = [salted[c].view(np.int64), np.full(len(c), f, np.int32), ids[row], hashed[row], *((x - start).astype(np.int32) for x in (c, l, r))]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+
+    return texts(docs).mapInArrow(run, kinds)
+
+
+def regions_of(found: list[tuple[int, int, int]], n: int, enough: int = ENOUGH, around: int = AROUND) -> list[tuple[int, int]]:
+    """Stretches (first, end) of n places around those where windows (f, l, r) of `enough` functions overlap."""
+    cover: dict[int, np.ndarray] = {}
+    for f, l, r in found:
+        cover.setdefault(f, np.zeros(n + 1, np.int32))
+        cover[f][l] += 1
+        cover[f][min(r + 1, n)] -= 1
+    counts = sum((np.cumsum(x[:-1]) > 0).astype(np.int32) for x in cover.values())
+    hit = np.flatnonzero(counts >= enough) if cover else np.zeros(0, np.int64)
+    if not len(hit):
+        return []
+    runs = np.split(hit, np.flatnonzero(np.diff(hit) > 2 * around) + 1)
+    return [(max(0, int(x[0]) - around), min(n, int(x[-1]) + 1 + around)) for x in runs]
 
 
 def _alike(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -190,196 +204,187 @@ def passages(source: np.ndarray, own: np.ndarray, size: int = SHINGLE, min_words
     return sorted(out)
 
 
-_SPANS = "doc_id long, start long, end long, source_id long, source_start long, source_end long, similarity double"
+_SPANS = "doc_id long, text_id long, start long, end long, source_id long, source_start long, source_end long, similarity double"
+_KEY = ["doc_id", "text_id"]
 
 
-def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (*[pa.int64()] * 6, pa.float64())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "start", "end", "source_id", "source_start", "source_end", "similarity"])
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows), fields)], [x for x, _ in fields])
 
 
-def _of_smallest(docs: DataFrame, found: DataFrame, size: int, min_words: int) -> DataFrame:
-    """Passages of found (doc_id, at, source_id), seeds with the smallest document that holds them."""
-    pairs = written(found.groupBy("doc_id", "source_id").agg(F.collect_list("at").alias("ws")), "pairs")  # as many as the document has
-    parts = written(pairs.groupBy("source_id").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "parts")
-    mine = pairs.join(parts, "source_id").select("doc_id", "source_id", "ws", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("parts"))
-    theirs = parts.select(F.col("source_id").alias("doc_id"), "source_id", F.lit(None).cast("array<int>").alias("ws"), F.lit(0).alias("part"), "parts")
-    names, kinds = ["source_id", "part", "side", "doc_id", "at", "places"], (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+def held_places(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, text_id, places) of the rows whose doc_id is in ids: 32 bits of the hash of each shingle.
+
+    A passage is proven by 37 places at least: one that is equal by chance, 1 in 4 billion, changes nothing.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TEXTS):
+                own = batch.slice(lo, TEXTS)
+                values = own.column(1).to_pylist()
+                rows = [(d, text_id(t), (h >> np.uint64(32)).astype("<u4").tobytes()) for d, t, h in zip(own.column(0).to_pylist(), values, places(values, size))]
+                yield _batch(rows, "doc_id long, text_id long, places binary")
+
+    return texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, text_id long, places binary")
+
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+def _paired(found: DataFrame, enough: int) -> DataFrame:
+    """(doc_id, text_id, source_id, ws) of found (..., source_id): windows shared with a source, of `enough` functions.  As many as the document has."""
+    pairs = found.groupBy("doc_id", "text_id", "source_id").agg(F.collect_list(F.struct("f", "l", "r")).alias("ws"))
+    return pairs.where(F.size(F.array_distinct("ws.f")) >= enough)
+
+
+def _verified(held: DataFrame, found: DataFrame, size: int, min_words: int, enough: int) -> DataFrame:
+    """Passages of found, windows with a source each that holds them too."""
+    pairs = written(_paired(found, enough), "pairs")
+    parts = written(pairs.groupBy("source_id").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "parts")
+    part = F.pmod(F.xxhash64(*_KEY), F.col("parts")).cast("int").alias("part")
+    own = held.join(pairs.join(parts, "source_id").select(*_KEY, "source_id", "ws", part), _KEY).select(*_KEY, "places", "source_id", "part", "ws")
+    schema = "source_id long, part int, side int, doc_id long, text_id long, at int, places binary"
 
     def regions(batches):
-        known = _Hashes()
         for batch in batches:
-            out = []
-            for _, text, source_id, ws, part, parts, doc_id in zip(*(c.to_pylist() for c in batch.columns)):
-                h = places(text, known, size)
-                if ws is None:
-                    out += [(source_id, p, 0, doc_id, 0, h.tobytes()) for p in range(parts)]
-                else:
-                    # A doc_id may repeat with another text, in which the seeds don't stand.
-                    out += [(source_id, part, 1, doc_id, a, h[a:b].tobytes()) for a, b in regions_of(ws, len(h)) if a < b]
-                if len(out) >= 256:
-                    yield batch_of(out)
-                    out = []
-            if out:
-                yield batch_of(out)
+            for lo in range(0, batch.num_rows, 64):
+                out = []
+                for doc_id, t, raw, source_id, part, ws in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns)):
+                    cut = regions_of([(w["f"], w["l"], w["r"]) for w in ws], len(raw) // 4, enough)
+                    out += [(source_id, part, 1, doc_id, t, a, raw[4 * a : 4 * b]) for a, b in cut]
+                if out:
+                    yield _batch(out, schema)
 
-    wanted = mine.unionByName(theirs)
-    joined = texts(docs).join(wanted, "doc_id").select(F.lit(0).alias("x"), "text", "source_id", "ws", "part", "parts", "doc_id")
-    sides = joined.mapInArrow(regions, "source_id long, part int, side int, doc_id long, at int, places binary")
+    mine = own.mapInArrow(regions, schema)
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    theirs = held.join(parts.withColumnRenamed("source_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("source_id"), every, F.lit(0).alias("side"), *_KEY, F.lit(0).alias("at"), "places")
 
     def compare(batches):
-        key, source = None, np.zeros(0, np.uint64)
+        key, source = None, np.zeros(0, np.uint32)
         for batch in batches:
             out = []
-            for source_id, part, side, doc_id, at, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                h = np.frombuffer(raw, np.uint64)
-                if side == 0:
+            for source_id, part, side, doc_id, t, at, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                h = np.frombuffer(raw, "<u4")
+                if side == 0:  # a doc_id may stand for several texts
                     source = np.concatenate([source, h]) if (source_id, part) == key else h
                     key = (source_id, part)
                 elif key == (source_id, part) and len(source):
-                    out += [(doc_id, at + a, at + b + size, source_id, c, d + size, s) for a, b, c, d, s in passages(source, h, size, min_words)]
+                    out += [(doc_id, t, at + a, at + b + size, source_id, c, d + size, s) for a, b, c, d, s in passages(source, h, size, min_words)]
             if out:
-                yield _spans(out)
+                yield _batch(out, _SPANS)
 
-    dealt = sides.repartition(partitions(docs.sparkSession), "source_id", "part").sortWithinPartitions("source_id", "part", "side", "doc_id", "at")
-    return dealt.mapInArrow(compare, _SPANS)
+    dealt = mine.unionByName(theirs).repartition(partitions(held.sparkSession), "source_id", "part").sortWithinPartitions("source_id", "part", "side", *_KEY, "at")
+    return written(dealt.mapInArrow(compare, _SPANS), "proven")
 
 
-def needed(own: np.ndarray, length: int) -> int:
-    """Distinct shingles that any passage of at least `length` places of own has in common with its source."""
-    if len(np.unique(own)) == len(own) or len(own) <= length:
-        least = len(np.unique(own[:length]))
-    else:
-        least = min(len(np.unique(own[i : i + length])) for i in range(len(own) - length + 1))
-    return max(1, -(-SIMILAR * least // 100))
+def _left(rows: DataFrame, proven: DataFrame, size: int) -> DataFrame:
+    """rows (doc_id, text_id, c, ...) whose place no proven passage holds."""
+    spans = proven.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # as many as the document has
+    within = F.exists("spans", lambda x: (x["start"] <= F.col("c")) & (F.col("c") + size <= x["end"]))
+    return written(rows.join(spans, _KEY, "left").where(~F.coalesce(within, F.lit(False))).select(*rows.columns), "left")
 
 
-def _of_others(docs: DataFrame, found: DataFrame, size: int, min_words: int) -> DataFrame:
-    """Passages around the seeds of found (v, doc_id, at, left): each left one with its holders that are smaller, until one proves it."""
-    of = lambda df, n: df.groupBy("v").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(n))
-    sizes = of(found.where("left"), "lefts").join(of(found, "rights"), "v")
-    rows = found.join(sizes, "v").groupBy("doc_id").agg(F.collect_list(F.struct("v", "at", "left", "lefts", "rights")).alias("ws"))  # as many as the document has
-    joined = texts(docs).join(rows, "doc_id").select("doc_id", "text", "ws")
-    names, kinds = ["v", "part", "side", "doc_id", "at", "seed", "places"], (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+def _of_others(held: DataFrame, last: DataFrame, found: DataFrame, least: int) -> DataFrame:
+    """(doc_id, text_id, f, l, r, source_id): windows of last with every smaller holder around whose place enough shingles agree.
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+    A passage has `least` places next to each other of which SIMILAR hundredths are shared; those around a
+    shared minimum are counted here in groups by hash, large ones cut into parts.
+    """
+    of = lambda df, n: df.groupBy("v").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(n))
+    sizes = of(last, "lefts").join(of(found, "rights"), "v")
+    names = ["v", "f", *_KEY, "c", "l", "r"]
+    every = found.select(*names, F.lit(0).alias("side")).unionByName(last.select(*names, F.lit(1).alias("side"))).join(sizes, "v")
+    rows = every.groupBy(*_KEY).agg(F.collect_list(F.struct("v", "f", "c", "l", "r", "side", "lefts", "rights")).alias("ws"))  # as many as the document has
+    joined = held.join(rows, _KEY).select(*_KEY, "places", "ws")
+    schema = "v long, part long, side int, doc_id long, text_id long, f int, l int, r int, places binary"
 
     def contexts(batches):
-        known = _Hashes()
         for batch in batches:
-            out = []
-            for doc_id, text, ws in zip(*(c.to_pylist() for c in batch.columns)):
-                h = places(text, known, size)
-                for w in ws:
-                    v, at, lefts, rights = w["v"], w["at"], w["lefts"], w["rights"]
-                    a = max(0, at - AROUND)
-                    raw = h[a : at + SEED + AROUND].tobytes()
-                    if not raw:
-                        continue
-                    j = (doc_id * 31 + at) % rights
-                    out += [(v, i * rights + j, 0, doc_id, a, at, raw) for i in range(lefts)]
-                    if w["left"]:
-                        i = (doc_id * 31 + at) % lefts
-                        out += [(v, i * rights + j, 1, doc_id, a, at, raw) for j in range(rights)]
-                    if len(out) >= 256:
-                        yield batch_of(out)
+            for lo in range(0, batch.num_rows, 16):
+                out = []
+                for doc_id, t, raw, ws in zip(*(c.to_pylist() for c in batch.slice(lo, 16).columns)):
+                    for w in ws:
+                        v, f, c, l, r, side, lefts, rights = w.values()
+                        near = raw[4 * max(0, c - least + 1) : 4 * (c + least)]
+                        own = (doc_id * 31 + c) % (lefts if side else rights)
+                        parts = range(own * rights, (own + 1) * rights) if side else range(own, lefts * rights, rights)
+                        out += [(v, p, side, doc_id, t, f, l, r, near) for p in parts]
+                    if len(out) >= 512:
+                        yield _batch(out, schema)
                         out = []
-            if out:
-                yield batch_of(out)
+                if out:
+                    yield _batch(out, schema)
 
-    sides = joined.mapInArrow(contexts, "v long, part long, side int, doc_id long, at int, seed int, places binary")
-    length = min_words - size + 1
+    need = -(-SIMILAR * least // 100)
+    result = "doc_id long, text_id long, f int, l int, r int, source_id long"
 
-    def compare(batches):
+    def meet(batches):
         key, holders, index, ids = None, [], None, None
         for batch in batches:
             out = []
-            for v, part, side, doc_id, at, seed, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for v, part, side, doc_id, t, f, l, r, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if (v, part) != key:
                     key, holders, index = (v, part), [], None
-                h = np.frombuffer(raw, np.uint64)
+                h = np.frombuffer(raw, "<u4")
                 if side == 0:
-                    holders.append((doc_id, at, h))
-                    continue
-                if not holders or holders[0][0] >= doc_id:
-                    continue
-                if index is None:
-                    index, ids = _Counter([np.unique(x) for *_, x in holders]), np.array([x for x, *_ in holders])
-                own = np.unique(h)
-                counts = np.searchsorted(index.flat, own, "right") - np.searchsorted(index.flat, own, "left")
-                need = needed(h, length)
-                # Of all but need - 1 of its shingles, the rarest here, a similar holder has one.
-                rare = own[np.argsort(counts, kind="stable")[: len(own) - need + 1]]
-                may = np.flatnonzero(index.shared(rare))
-                may = may[ids[may] < doc_id]
-                if not len(may):
-                    continue
-                both = index.shared(own)[may]
-                for j in may[np.argsort(-both, kind="stable")][: int((both >= need).sum())].tolist():  # what has most in common first
-                    source_id, there, source = holders[j]
-                    got = [(doc_id, at + a, at + b + size, source_id, there + c, there + d + size, s) for a, b, c, d, s in passages(source, h, size, min_words)]
-                    out += got
-                    if any(x[1] <= seed and seed + SEED <= x[2] for x in got):
-                        break
+                    holders.append((doc_id, h))
+                elif holders and len(h) >= need:
+                    if index is None:
+                        index, ids = _Counter([np.unique(x) for _, x in holders]), np.array([x for x, _ in holders])
+                    out += [(doc_id, t, f, l, r, x) for x in ids[(index.shared(h) >= need) & (ids < doc_id)].tolist()]
             if out:
-                yield _spans(out)
-
-    dealt = sides.repartition(partitions(docs.sparkSession), "v", "part").sortWithinPartitions("v", "part", "side", "doc_id", "seed")
-    return dealt.mapInArrow(compare, _SPANS)
+                yield _batch(out, result)
 
+    sides = joined.mapInArrow(contexts, schema).repartition(partitions(held.sparkSession), "v", "part").sortWithinPartitions("v", "part", "side")
+    return sides.mapInArrow(meet, result).distinct()
 
-def _left(rows: DataFrame, proven: DataFrame) -> DataFrame:
-    """rows (v, doc_id, at, left) with left false for seeds that a proven passage holds."""
-    spans = proven.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # as many as the document has
-    within = F.exists("spans", lambda x: (x["start"] <= F.col("at")) & (F.col("at") + SEED <= x["end"]))
-    return written(rows.join(spans, "doc_id", "left").select("v", "doc_id", "at", (F.col("left") & ~F.coalesce(within, F.lit(False))).alias("left")), "left")
 
-
-def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS) -> DataFrame:
-    """Passages that repeat: doc_id, start and end (words, end exclusive), source_id, source_start, source_end, similarity.
+def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, functions: int = FUNCTIONS, enough: int = ENOUGH) -> DataFrame:
+    """Passages that repeat: doc_id, text_id, start and end (words, end exclusive), source_id, source_start, source_end, similarity.
 
     docs (doc_id, text) is a stored table.  source_id, always smaller than doc_id, holds the passage too.
     Rows without doc_id, and null, empty and short texts take no part; repeats inside one document
-    aren't reported; rows that repeat a doc_id count as one document; other columns are left out.
+    aren't reported; rows that repeat a doc_id count as one document, and text_id tells which text
+    a passage stands in; other columns are left out; an empty table has none.
     """
-    every = written(seeds(docs), "seeds")
-    shared = every.groupBy("v").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("source_id <> last").select("v", "source_id", "n")
-    found = written(every.join(shared, "v").where("doc_id <> source_id"), "found")
-    first = written(_of_smallest(docs, found.select("doc_id", "at", "source_id"), size, min_words), "first")
-    # Seeds with holders beside the smallest, and whether a proven passage has them.
-    rest = _left(found.where("n > 2").select("v", "doc_id", "at").withColumn("left", F.lit(True)), first)
-    # The smallest of those that aren't proven speaks for most of the others; then each with all holders.
-    hubs = rest.where("left").groupBy("v").agg(F.min("doc_id").alias("source_id"))
-    next_ = written(rest.where("left").join(hubs, "v").where("doc_id > source_id").select("doc_id", "at", "source_id"), "next")
-    second = written(_of_smallest(docs, next_, size, min_words), "second")
-    marked = _left(rest, second)
-    some = marked.groupBy("v").agg(F.min("doc_id").alias("low"), F.max(F.when(F.col("left"), F.col("doc_id"))).alias("high")).where("low < high")
-    others = marked.join(some, "v").where("left or doc_id < high").select("v", "doc_id", "at", (F.col("left") & (F.col("doc_id") > F.col("low"))).alias("left"))
-    third = _of_others(docs, written(others, "others"), size, min_words)
-    return first.unionByName(second).unionByName(third).dropDuplicates(["doc_id", "start", "end", "source_id"])
+    least = min_words - size + 1
+    every = written(windows(docs, size, functions, least), "windows")
+    shared = every.groupBy("v").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("source_id <> last").drop("last")
+    found = written(every.join(shared, "v"), "found")
+    some = found.groupBy("doc_id").agg(F.max("f").alias("high"), F.min("f").alias("low")).where("low < high").select("doc_id")
+    held = written(held_places(docs, some, size), "held")
+    first = _verified(held, found.where("doc_id <> source_id"), size, min_words, enough)
+    # Windows with holders beside the smallest that no proven passage has: the smallest of them speaks for most of the others.
+    rest = _left(found.where("doc_id <> source_id and n > 2").drop("source_id", "n"), first, size)
+    hubs = rest.groupBy("v").agg(F.min("doc_id").alias("source_id"))
+    second = _verified(held, rest.join(hubs, "v").where("doc_id > source_id"), size, min_words, enough)
+    # Then each with all smaller holders that agree around it.
+    last = _left(rest, second, size)
+    third = _verified(held, written(_of_others(held, last, found, least), "others"), size, min_words, 1)
+    return first.unionByName(second).unionByName(third).dropDuplicates([*_KEY, "start", "end", "source_id"])
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs without the passages of spans (doc_id, start, end): their words go, with the white space after them.
+    """docs without the passages of spans (doc_id, text_id, start, end): their words go, with the white space after them.
 
     All columns stay; n_chars, where there is one, follows the text.  Texts without a passage stay as
     they are, also null ones.
     """
     names = docs.columns
     at = names.index("text")
-    cuts = max(names, key=len) + "_cuts"  # longer than any name of docs
-    lists = written(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias(cuts)), "cuts")
-    few = lists.count() <= BROADCAST_DOCS
-    joined = docs.join(F.broadcast(lists) if few else lists, "doc_id", "left").select(*names, cuts)
+    key, cuts = (max(names, key=len) + x for x in ("_key", "_cuts"))  # longer than any name of docs
+    lists = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("text_id", "start", "end")).alias(cuts))  # as many as the document has
+    joined = docs.join(lists, F.col("doc_id").cast("long") == F.col(key), "left").select(*names, cuts)
+
+    def cut(text, spans):
+        own = text_id(text) if spans and text else None
+        places = [(x["start"], x["end"]) for x in spans if x["text_id"] == own] if own is not None else []
+        return cut_words(text, places) if places else text
 
     def run(batches):
         for batch in batches:
-            cut = [cut_words(t, [(x["start"], x["end"]) for x in s]) if s and t else t for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names)
+            texts_ = [cut(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts_, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names)
 
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

@@ -348,18 +348,40 @@ def test_components(spark):
     assert got == dict.fromkeys(range(21), 0) | {100: 50, 50: 50, 70: 50}
 
 
-def test_compact_windows_hold_every_stretch():
-    rng = np.random.default_rng(3)
-    for n, least in ((1, 5), (5, 5), (60, 7), (200, 12)):
-        h = rng.integers(0, 20, n).astype(np.uint64) << np.uint64(20)
-        found = substrings.compact_windows(h, least)
-        for a in range(n):
-            for b in range(a + least - 1, n):
-                own = [c for c, lo, hi in found if lo <= a <= c <= b <= hi]
-                assert len(own) == 1 and h[own[0]] == h[a : b + 1].min()
+def test_word_hashes(monkeypatch):
+    values = ["A bc\tDe\n\nf  ", "", " \n", "a", "é É z", "x" * 300, None or "bc a"]
+    hashes, counts = minhash.word_hashes(values)
+    words = [w.lower() if w.isascii() else w for t in values for w in t.split()]
+    assert counts.tolist() == [4, 0, 0, 1, 3, 1, 2] and len(set(hashes.tolist())) == len(set(words))
+    assert all((a == b) == (x == y) for a, x in zip(words, hashes) for b, y in zip(words, hashes))
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 5)
+    assert (minhash.word_hashes(values)[0] == hashes).all()
 
 
-def test_repeats(stored, spark):
+def test_compact_windows_are_the_trees_nodes():
+    rng = np.random.default_rng(3)
+    for n, least in ((1, 5), (5, 5), (60, 7), (200, 12), (300, 46), (90, 64)):
+        h = rng.permutation(n).astype(np.uint64) << np.uint64(20)
+        want = {}
+        for c in range(n):
+            left, right = c, c
+            while left and h[left - 1] > h[c]:
+                left -= 1
+            while right + 1 < n and h[right + 1] > h[c]:
+                right += 1
+            if right - left + 1 >= least:
+                want[c] = (max(left, c - least + 1), min(right, c + least - 1))
+        assert {c: (lo, hi) for c, lo, hi in zip(*(x.tolist() for x in substrings.compact_windows(h, least)))} == want
+    # Several texts at once; a text of one word makes no chain.
+    sizes = [30, 0, 70, 3, 50]
+    parts = [rng.permutation(n).astype(np.uint64) << np.uint64(20) for n in sizes]
+    got = list(zip(*(x.tolist() for x in substrings.compact_windows(np.concatenate(parts), 12, sizes))))
+    starts = np.cumsum(sizes) - sizes
+    assert got == [(c + s, a + s, b + s) for s, p in zip(starts.tolist(), parts) for c, a, b in zip(*(x.tolist() for x in substrings.compact_windows(p, 12)))]
+    assert len(substrings.compact_windows(np.zeros(5000, np.uint64))[0]) < 5000 / 10
+
+
+def test_repeats(stored, spark, tmp_path):
     spans = substrings.repeats(stored["odd"]).collect()
     pairs = {(r["doc_id"], r["source_id"]) for r in spans}
     assert (2, 1) in pairs and (9, 8) in pairs and (11, 10) in pairs and all(a > b for a, b in pairs)
@@ -368,6 +390,12 @@ def test_repeats(stored, spark):
         own, there = texts[r["doc_id"]].split()[r["start"] : r["end"]], texts[r["source_id"]].split()[r["source_start"] : r["source_end"]]
         assert r["end"] - r["start"] >= substrings.MIN_WORDS and set(own) & set(there) and r["similarity"] >= 0.8
     assert substrings.repeats(stored["none"]).count() == 0
+    # Rows that share a doc_id but not their text: each is cut at its own places.
+    both = [(1, BASE[2]), (5, "a b c " + BASE[2]), (5, "no " * 3 + BASE[0] + " end"), (9, BASE[0])]
+    at = f"file://{tmp_path}/t"
+    spark.createDataFrame(both, SCHEMA).write.parquet(at)
+    twice = spark.read.parquet(at)
+    assert sorted(r["text"] for r in substrings.without(twice, substrings.repeats(twice)).collect()) == sorted([BASE[2], "a b c ", "no " * 3 + BASE[0] + " end", ""])
     cut = {r["doc_id"]: r["text"] for r in substrings.without(stored["odd"], substrings.repeats(stored["odd"])).collect()}
     assert cut[2] == "" and cut[1] == BASE[0] and cut[3] is None and len(cut[11]) < len(BASE[2])
     assert substrings.cut_words("a b  c\nd e", [(1, 2), (3, 4)]) == "a c\ne"
@@ -391,8 +419,9 @@ def test_repeats_go_on_from_a_smallest_holder_of_a_part(spark, tmp_path, monkeyp
         want[g + 2] = set(range(20, 71))
     at = f"file://{tmp_path}/t"
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(at)
-    for size in (substrings.GROUP_ROWS, 1):
+    for size in (1000, 1):
         monkeypatch.setattr(substrings, "GROUP_ROWS", size)
+        monkeypatch.setattr(substrings, "PART_ROWS", size)
         held = defaultdict(set)
         for r in substrings.repeats(spark.read.parquet(at)).collect():
             held[r["doc_id"]] |= set(range(r["start"], r["end"]))
@@ -433,7 +462,9 @@ def test_repeats_find_edited_passages(spark, tmp_path):
     at = f"file://{tmp_path}/t"
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(at)
     got = {r["doc_id"]: (r["start"], r["end"]) for r in substrings.repeats(spark.read.parquet(at)).collect()}
-    assert len(want) > 250 and got == want
+    # Two of five functions have to agree on a passage: beside some of 0.8 to 0.85, all do.
+    assert len(want) > 250 and set(got) <= set(want) and len(got) >= 0.97 * len(want)
+    assert sum(got[d] == want[d] for d in got) >= 0.97 * len(got)
 
 
 def test_toxicity(spark, stored):
