@@ -12,10 +12,10 @@ that one document shares with another overlap, the region around them is compare
 the other document.  A passage is proven if SIMILAR hundredths of the shingles agree over MIN_WORDS
 words.
 
-Every window is first compared with the smallest document that holds its hash, then, if no
-proven passage has it, with the smallest of those left over, and at last with all smaller holders of
-which enough shingles agree around the minimum.  So a passage that a third of all documents hold costs
-each of them one comparison, and a line that unlike documents share a count.
+Every window is first compared with the smallest document that holds its hash.  Then windows that no
+proven passage has, also those that too few functions share, meet all smaller holders: where enough
+shingles around the minimum agree, the two documents are compared.  So a passage that a third of all
+documents hold costs each of them one comparison, and a line that unlike documents share a count.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, texts, written
+from .common import dropped, partitions, texts, written
 from .minhash import SIMILAR, TEXTS, _Counter, mixed, places
 
-SHINGLE, FUNCTIONS, ENOUGH = 5, 5, 2
+SHINGLE, FUNCTIONS, ENOUGH = 5, 4, 2
 #: Words of the shortest passage, and places of the shortest window: as many as the passage has.
 MIN_WORDS, WINDOW = 50, 46
 #: Places to each side of windows shared with a source that are compared with it too.
@@ -42,9 +42,13 @@ GAP = 3 * SHINGLE
 PART_ROWS = 300
 #: Holders of a hash in one part of its group.
 GROUP_ROWS = 1000
+#: Bytes of places in one batch of rows.
+BATCH_BYTES = 1 << 22
 _WORD = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 _NOISE = np.random.default_rng(11).integers(0, 1 << 12, 1 << 16, dtype=np.uint64) << np.uint64(6)
 _LOW = np.uint64(63)
+#: Bits of a text's id that windows carry.
+_TAG = 0x7FFF
 
 
 def compact_windows(h: np.ndarray, least: int = WINDOW, sizes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,8 +92,7 @@ def text_id(text: str) -> int:
 
 
 def windows(docs: DataFrame, size: int = SHINGLE, functions: int = FUNCTIONS, least: int = WINDOW) -> DataFrame:
-    """(v, f, doc_id, text_id, c, l, r) of all compact windows; v is the hash under function f, c its place."""
-    names, kinds = ["v", "f", "doc_id", "text_id", "c", "l", "r"], "v long, f int, doc_id long, text_id long, c int, l int, r int"
+    """(v, doc_id, w) of all compact windows: v is the minimum's hash, w packs what unpacked() gives, so that little is shuffled."""
 
     def run(batches):
         for batch in batches:
@@ -100,20 +103,26 @@ def windows(docs: DataFrame, size: int = SHINGLE, functions: int = FUNCTIONS, le
                 if not kept:
                     continue
                 sizes = [len(h) for *_, h in kept]
-                ids, hashed = np.array([d for d, *_ in kept], np.int64), np.array([text_id(t) for _, t, _ in kept], np.int64)
+                ids, tags = np.array([d for d, *_ in kept], np.int64), np.array([text_id(t) & _TAG for _, t, _ in kept], np.int64)
                 every, ends = np.concatenate([h for *_, h in kept]), np.cumsum(sizes)
                 for f in range(functions):
                     salted = _salted(every, f)
                     c, l, r = compact_windows(salted, least, sizes)
                     row = np.searchsorted(ends, c, "right")
-                    start = (ends - sizes)[row]
-                    columns = [salted[c].view(np.int64), np.full(len(c), f, np.int32), ids[row], hashed[row], *((x - start).astype(np.int32) for x in (c, l, r))]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+                    w = tags[row] << 47 | c - (ends - sizes)[row] << 15 | c - l << 9 | r - c << 3 | f
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (salted[c].view(np.int64), ids[row], w)], ["v", "doc_id", "w"])
 
-    return texts(docs).mapInArrow(run, kinds)
+    return texts(docs).mapInArrow(run, "v long, doc_id long, w long")
 
 
-def regions_of(found: list[tuple[int, int, int]], n: int, enough: int = ENOUGH, around: int = AROUND) -> list[tuple[int, int]]:
+def unpacked(df: DataFrame) -> DataFrame:
+    """w as tag (bits of the text's id), c (place of the minimum), l and r (first and last place of its windows) and f."""
+    bits = lambda at, mask: F.shiftright("w", at).bitwiseAND(F.lit(mask))
+    df = df.withColumns({"tag": bits(47, _TAG), "c": bits(15, 0xFFFFFFFF), "f": bits(0, 7)})
+    return df.withColumns({"l": F.col("c") - bits(9, 63), "r": F.col("c") + bits(3, 63)}).drop("w")
+
+
+def regions_of(found: list[tuple[int, int, int]], n: int, enough: int, around: int) -> list[tuple[int, int]]:
     """Stretches (first, end) of n places around those where windows (f, l, r) of `enough` functions overlap."""
     cover: dict[int, np.ndarray] = {}
     for f, l, r in found:
@@ -173,11 +182,17 @@ def stretches(source: np.ndarray, own: np.ndarray, run: np.ndarray, least: int)
     return out
 
 
-def passages(source: np.ndarray, own: np.ndarray, size: int = SHINGLE, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, float]]:
-    """Proven passages of `own` in `source`: first and last place in both, and the similarity of their shingle sets."""
-    values = np.unique(source)
+def passages(source: np.ndarray, own: np.ndarray, size: int = SHINGLE, min_words: int = MIN_WORDS, values: np.ndarray | None = None) -> list[tuple[int, int, int, int, float]]:
+    """Proven passages of `own` in `source`: first and last place in both, and the similarity of their shingle sets.  `values` are the distinct ones of source."""
+    if values is None:
+        values = np.unique(source)
     at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-    hit = np.flatnonzero(values[at] == own)
+    same = values[at] == own
+    least = min_words - size + 1
+    total = np.concatenate([[0], np.cumsum(same)])
+    if len(own) < least or 100 * int((total[least:] - total[:-least]).max()) < SIMILAR * least:
+        return []  # no stretch has enough in common
+    hit = np.flatnonzero(same)
     out = []
     for gap in (GAP, 1):
         if not len(hit):
@@ -214,115 +229,130 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows), fields)], [x for x, _ in fields])
 
 
-def held_places(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_id, places) of the rows whose doc_id is in ids: 32 bits of the hash of each shingle.
+def _batches(rows, schema: str):
+    """rows, whose last value is bytes, in batches of bounded size."""
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[-1])
+        if size >= BATCH_BYTES or len(out) >= 1024:
+            yield _batch(out, schema)
+            out, size = [], 0
+    if out:
+        yield _batch(out, schema)
+
+
+def _held(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, text_id, places, and what wanted has) of every row of docs with the doc_id of a row of wanted (doc_id, one more): 32 bits of the hash of each shingle.
 
     A passage is proven by 37 places at least: one that is equal by chance, 1 in 4 billion, changes nothing.
     """
+    (more,) = (c for c in wanted.columns if c != "doc_id")
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 own = batch.slice(lo, TEXTS)
                 values = own.column(1).to_pylist()
-                rows = [(d, text_id(t), (h >> np.uint64(32)).astype("<u4").tobytes()) for d, t, h in zip(own.column(0).to_pylist(), values, places(values, size))]
-                yield _batch(rows, "doc_id long, text_id long, places binary")
+                held = [(h >> np.uint64(32)).astype("<u4").tobytes() for h in places(values, size)]
+                yield pa.RecordBatch.from_arrays([own.column(0), pa.array([text_id(t) for t in values], pa.int64()), pa.array(held, pa.binary()), own.column(2)], [*_KEY, "places", more])
 
-    return texts(docs).join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, text_id long, places binary")
+    kind = wanted.schema[more].dataType.simpleString()
+    return texts(docs).join(wanted, "doc_id").select("doc_id", "text", more).mapInArrow(run, f"doc_id long, text_id long, places binary, `{more}` {kind}")
 
 
-def _paired(found: DataFrame, enough: int) -> DataFrame:
-    """(doc_id, text_id, source_id, ws) of found (..., source_id): windows shared with a source, of `enough` functions.  As many as the document has."""
-    pairs = found.groupBy("doc_id", "text_id", "source_id").agg(F.collect_list(F.struct("f", "l", "r")).alias("ws"))
-    return pairs.where(F.size(F.array_distinct("ws.f")) >= enough)
+def _wanted(found: DataFrame, enough: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, jobs) of found (doc_id, source_id, f, l, r): the sources of each document with the windows that lead to them, and a row without windows for each source.  Also the table of pairs that it reads."""
+    pairs = found.groupBy("doc_id", "source_id").agg(F.collect_list(F.struct("f", "l", "r")).alias("ws"))  # as many as the document has
+    pairs = written(pairs.where(F.size(F.array_distinct("ws.f")) >= enough), "pairs")
+    parts = pairs.groupBy("source_id").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    none = F.lit(None).cast(pairs.schema["ws"].dataType)
+    mine = pairs.join(parts, "source_id").select("doc_id", F.struct("source_id", part.alias("part"), "ws").alias("job"))
+    theirs = parts.select(F.col("source_id").alias("doc_id"), F.struct("source_id", F.col("parts").alias("part"), none.alias("ws")).alias("job"))
+    return mine.unionByName(theirs).groupBy("doc_id").agg(F.collect_list("job").alias("jobs")), pairs
 
 
-def _verified(held: DataFrame, found: DataFrame, size: int, min_words: int, enough: int) -> DataFrame:
-    """Passages of found, windows with a source each that holds them too."""
-    pairs = written(_paired(found, enough), "pairs")
-    parts = written(pairs.groupBy("source_id").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")), "parts")
-    part = F.pmod(F.xxhash64(*_KEY), F.col("parts")).cast("int").alias("part")
-    own = held.join(pairs.join(parts, "source_id").select(*_KEY, "source_id", "ws", part), _KEY).select(*_KEY, "places", "source_id", "part", "ws")
+def _compared(held: DataFrame, size: int, min_words: int, enough: int, around: int) -> DataFrame:
+    """Passages of the rows of held (doc_id, text_id, places, jobs) in their sources."""
     schema = "source_id long, part int, side int, doc_id long, text_id long, at int, places binary"
 
+    def rows(batch):
+        for k in range(batch.num_rows):
+            doc_id, t, raw, jobs = (c[k].as_py() for c in batch.columns)
+            for job in jobs:
+                source_id, part, ws = job.values()
+                if ws is None:
+                    yield from ((source_id, p, 0, doc_id, t, 0, raw) for p in range(part))
+                else:
+                    for a, b in regions_of([(w["f"], w["l"], w["r"]) for w in ws], len(raw) // 4, enough, around):
+                        yield source_id, part, 1, doc_id, t, a, raw[4 * a : 4 * b]
+
     def regions(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                out = []
-                for doc_id, t, raw, source_id, part, ws in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns)):
-                    cut = regions_of([(w["f"], w["l"], w["r"]) for w in ws], len(raw) // 4, enough)
-                    out += [(source_id, part, 1, doc_id, t, a, raw[4 * a : 4 * b]) for a, b in cut]
-                if out:
-                    yield _batch(out, schema)
-
-    mine = own.mapInArrow(regions, schema)
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
-    theirs = held.join(parts.withColumnRenamed("source_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("source_id"), every, F.lit(0).alias("side"), *_KEY, F.lit(0).alias("at"), "places")
+            yield from _batches(rows(batch), schema)
 
     def compare(batches):
-        key, source = None, np.zeros(0, np.uint32)
+        key, source, values = None, np.zeros(0, np.uint32), None
         for batch in batches:
             out = []
             for source_id, part, side, doc_id, t, at, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 h = np.frombuffer(raw, "<u4")
                 if side == 0:  # a doc_id may stand for several texts
                     source = np.concatenate([source, h]) if (source_id, part) == key else h
-                    key = (source_id, part)
+                    key, values = (source_id, part), None
                 elif key == (source_id, part) and len(source):
-                    out += [(doc_id, t, at + a, at + b + size, source_id, c, d + size, s) for a, b, c, d, s in passages(source, h, size, min_words)]
+                    values = np.unique(source) if values is None else values
+                    out += [(doc_id, t, at + a, at + b + size, source_id, c, d + size, s) for a, b, c, d, s in passages(source, h, size, min_words, values)]
             if out:
                 yield _batch(out, _SPANS)
 
-    dealt = mine.unionByName(theirs).repartition(partitions(held.sparkSession), "source_id", "part").sortWithinPartitions("source_id", "part", "side", *_KEY, "at")
+    sides = held.select(*_KEY, "places", "jobs").mapInArrow(regions, schema)
+    dealt = sides.repartition(partitions(held.sparkSession), "source_id", "part").sortWithinPartitions("source_id", "part", "side", *_KEY, "at")
     return written(dealt.mapInArrow(compare, _SPANS), "proven")
 
 
 def _left(rows: DataFrame, proven: DataFrame, size: int) -> DataFrame:
-    """rows (doc_id, text_id, c, ...) whose place no proven passage holds."""
-    spans = proven.groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # as many as the document has
+    """rows (doc_id, tag, c, ...) whose place no proven passage holds."""
+    tag = F.col("text_id").bitwiseAND(F.lit(_TAG)).alias("tag")
+    spans = proven.groupBy("doc_id", tag).agg(F.collect_list(F.struct("start", "end")).alias("spans"))  # as many as the document has
     within = F.exists("spans", lambda x: (x["start"] <= F.col("c")) & (F.col("c") + size <= x["end"]))
-    return written(rows.join(spans, _KEY, "left").where(~F.coalesce(within, F.lit(False))).select(*rows.columns), "left")
+    return rows.join(spans, ["doc_id", "tag"], "left").where(~F.coalesce(within, F.lit(False))).select(*rows.columns)
 
 
-def _of_others(held: DataFrame, last: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """(doc_id, text_id, f, l, r, source_id): windows of last with every smaller holder around whose place enough shingles agree.
+def _of_others(held: DataFrame, least: int) -> DataFrame:
+    """(doc_id, source_id, f, l, r): windows of held (doc_id, text_id, places, ws) with every smaller holder around whose place enough shingles agree.
 
     A passage has `least` places next to each other of which SIMILAR hundredths are shared; those around a
     shared minimum are counted here in groups by hash, large ones cut into parts.
     """
-    of = lambda df, n: df.groupBy("v").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(n))
-    sizes = of(last, "lefts").join(of(found, "rights"), "v")
-    names = ["v", "f", *_KEY, "c", "l", "r"]
-    every = found.select(*names, F.lit(0).alias("side")).unionByName(last.select(*names, F.lit(1).alias("side"))).join(sizes, "v")
-    rows = every.groupBy(*_KEY).agg(F.collect_list(F.struct("v", "f", "c", "l", "r", "side", "lefts", "rights")).alias("ws"))  # as many as the document has
-    joined = held.join(rows, _KEY).select(*_KEY, "places", "ws")
-    schema = "v long, part long, side int, doc_id long, text_id long, f int, l int, r int, places binary"
+    schema = "v long, part long, side int, doc_id long, f long, l long, r long, places binary"
+
+    def rows(batch):
+        for k in range(batch.num_rows):
+            doc_id, t, raw, ws = (c[k].as_py() for c in batch.columns)
+            for w in ws:
+                v, tag, f, c, l, r, left, lefts, rights = w.values()
+                if tag != t & _TAG:
+                    continue
+                near = raw[4 * max(0, c - least + 1) : 4 * (c + least)]
+                i, j = (doc_id * 31 + c) % lefts, (doc_id * 31 + c) % rights
+                yield from ((v, p, 0, doc_id, f, l, r, near) for p in range(j, lefts * rights, rights))
+                if left:
+                    yield from ((v, p, 1, doc_id, f, l, r, near) for p in range(i * rights, (i + 1) * rights))
 
     def contexts(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 16):
-                out = []
-                for doc_id, t, raw, ws in zip(*(c.to_pylist() for c in batch.slice(lo, 16).columns)):
-                    for w in ws:
-                        v, f, c, l, r, side, lefts, rights = w.values()
-                        near = raw[4 * max(0, c - least + 1) : 4 * (c + least)]
-                        own = (doc_id * 31 + c) % (lefts if side else rights)
-                        parts = range(own * rights, (own + 1) * rights) if side else range(own, lefts * rights, rights)
-                        out += [(v, p, side, doc_id, t, f, l, r, near) for p in parts]
-                    if len(out) >= 512:
-                        yield _batch(out, schema)
-                        out = []
-                if out:
-                    yield _batch(out, schema)
+            yield from _batches(rows(batch), schema)
 
     need = -(-SIMILAR * least // 100)
-    result = "doc_id long, text_id long, f int, l int, r int, source_id long"
+    result = "doc_id long, f long, l long, r long, source_id long"
 
     def meet(batches):
         key, holders, index, ids = None, [], None, None
         for batch in batches:
             out = []
-            for v, part, side, doc_id, t, f, l, r, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for v, part, side, doc_id, f, l, r, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 if (v, part) != key:
                     key, holders, index = (v, part), [], None
                 h = np.frombuffer(raw, "<u4")
@@ -331,12 +361,12 @@ def _of_others(held: DataFrame, last: DataFrame, found: DataFrame, least: int) -
                 elif holders and len(h) >= need:
                     if index is None:
                         index, ids = _Counter([np.unique(x) for _, x in holders]), np.array([x for x, _ in holders])
-                    out += [(doc_id, t, f, l, r, x) for x in ids[(index.shared(h) >= need) & (ids < doc_id)].tolist()]
+                    out += [(doc_id, f, l, r, x) for x in ids[(index.shared(h) >= need) & (ids < doc_id)].tolist()]
             if out:
                 yield _batch(out, result)
 
-    sides = joined.mapInArrow(contexts, schema).repartition(partitions(held.sparkSession), "v", "part").sortWithinPartitions("v", "part", "side")
-    return sides.mapInArrow(meet, result).distinct()
+    sides = held.select(*_KEY, "places", "ws").mapInArrow(contexts, schema)
+    return sides.repartition(partitions(held.sparkSession), "v", "part").sortWithinPartitions("v", "part", "side").mapInArrow(meet, result).distinct()
 
 
 def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, functions: int = FUNCTIONS, enough: int = ENOUGH) -> DataFrame:
@@ -349,19 +379,25 @@ def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, fu
     """
     least = min_words - size + 1
     every = written(windows(docs, size, functions, least), "windows")
-    shared = every.groupBy("v").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("source_id <> last").drop("last")
-    found = written(every.join(shared, "v"), "found")
-    some = found.groupBy("doc_id").agg(F.max("f").alias("high"), F.min("f").alias("low")).where("low < high").select("doc_id")
-    held = written(held_places(docs, some, size), "held")
-    first = _verified(held, found.where("doc_id <> source_id"), size, min_words, enough)
-    # Windows with holders beside the smallest that no proven passage has: the smallest of them speaks for most of the others.
-    rest = _left(found.where("doc_id <> source_id and n > 2").drop("source_id", "n"), first, size)
-    hubs = rest.groupBy("v").agg(F.min("doc_id").alias("source_id"))
-    second = _verified(held, rest.join(hubs, "v").where("doc_id > source_id"), size, min_words, enough)
-    # Then each with all smaller holders that agree around it.
-    last = _left(rest, second, size)
-    third = _verified(held, written(_of_others(held, last, found, least), "others"), size, min_words, 1)
-    return first.unionByName(second).unionByName(third).dropDuplicates([*_KEY, "start", "end", "source_id"])
+    shared = every.groupBy("v").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last")).where("source_id <> last").drop("last")
+    found = written(unpacked(every.join(shared, "v")), "found")
+    dropped(every)
+    wanted, pairs = _wanted(found.where("doc_id <> source_id"), enough)
+    first = _compared(_held(docs, wanted, size), size, min_words, enough, AROUND)
+    dropped(pairs)
+    # Windows that no proven passage has, with all smaller holders that agree around them.
+    rest = written(_left(found.where("doc_id <> source_id"), first, size).withColumn("left", F.lit(True)), "left")
+    of = lambda df, n: df.groupBy("v").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(n))
+    sizes = of(rest, "lefts").join(of(found, "rights"), "v")
+    marked = found.join(rest.select("v", "doc_id", "tag", "c", "left").distinct(), ["v", "doc_id", "tag", "c"], "left").withColumn("left", F.coalesce("left", F.lit(False)))
+    columns = F.struct("v", "tag", "f", "c", "l", "r", "left", "lefts", "rights")
+    ws = marked.join(sizes, "v").groupBy("doc_id").agg(F.collect_list(columns).alias("ws"))  # as many as the document has
+    held = written(_held(docs, ws, size), "held")
+    others = written(_of_others(held, least), "others")
+    wanted, pairs = _wanted(others, 1)
+    second = _compared(held.drop("ws").join(wanted, "doc_id"), size, min_words, 1, least)
+    dropped(found, rest, held, others, pairs)
+    return first.unionByName(second).dropDuplicates([*_KEY, "start", "end", "source_id"])
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
