@@ -50,14 +50,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of finished plans; the job before it makes the scheduler forget the last one."""
+    spark.range(1).collect()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
-    """Removes tables of written() that nothing reads any more, and lets Spark's cleaner remove the shuffle files of finished plans."""
+    """Removes tables of written() that nothing reads any more, and shuffle files with them."""
     for df in tables:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.stored_at)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    context._jvm.System.gc()
+    released(tables[0].sparkSession)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -13,9 +13,10 @@ the other document.  A passage is proven if SIMILAR hundredths of the shingles a
 words.
 
 Every window is first compared with the smallest document that holds its hash.  Then windows that no
-proven passage has, also those that too few functions share, meet all smaller holders: where enough
-shingles around the minimum agree, the two documents are compared.  So a passage that a third of all
-documents hold costs each of them one comparison, and a line that unlike documents share a count.
+proven passage has, also those that too few functions share, meet all smaller holders: of those with
+enough shingles around the minimum in common the best is compared, and the others if it proves nothing.
+So a passage that a third of all documents hold costs each of them one comparison, and a line that
+unlike documents share a count.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, partitions, texts, written
+from .common import dropped, partitions, released, texts, written
 from .minhash import SIMILAR, TEXTS, _Counter, mixed, places
 
 SHINGLE, FUNCTIONS, ENOUGH = 5, 4, 2
@@ -38,6 +39,8 @@ MIN_WORDS, WINDOW = 50, 46
 AROUND = 512
 #: Places without a match inside a passage: three changed words.
 GAP = 3 * SHINGLE
+#: Places that a stretch of WINDOW in a similar passage may lack: a changed word takes 5, two inserted ones 6.
+ROOM = 7
 #: Regions of documents that one task compares with a source.
 PART_ROWS = 300
 #: Holders of a hash in one part of its group.
@@ -124,13 +127,10 @@ def unpacked(df: DataFrame) -> DataFrame:
 
 def regions_of(found: list[tuple[int, int, int]], n: int, enough: int, around: int) -> list[tuple[int, int]]:
     """Stretches (first, end) of n places around those where windows (f, l, r) of `enough` functions overlap."""
-    cover: dict[int, np.ndarray] = {}
+    cover = np.zeros((8, n), bool)
     for f, l, r in found:
-        cover.setdefault(f, np.zeros(n + 1, np.int32))
-        cover[f][l] += 1
-        cover[f][min(r + 1, n)] -= 1
-    counts = sum((np.cumsum(x[:-1]) > 0).astype(np.int32) for x in cover.values())
-    hit = np.flatnonzero(counts >= enough) if cover else np.zeros(0, np.int64)
+        cover[f, l : r + 1] = True
+    hit = np.flatnonzero(cover.sum(0) >= enough)
     if not len(hit):
         return []
     runs = np.split(hit, np.flatnonzero(np.diff(hit) > 2 * around) + 1)
@@ -321,12 +321,12 @@ def _left(rows: DataFrame, proven: DataFrame, size: int) -> DataFrame:
 
 
 def _of_others(held: DataFrame, least: int) -> DataFrame:
-    """(doc_id, source_id, f, l, r): windows of held (doc_id, text_id, places, ws) with every smaller holder around whose place enough shingles agree.
+    """(doc_id, tag, c, f, l, r, source_id, both): windows of held (doc_id, text_id, places, ws) with every smaller holder around whose place enough shingles agree.
 
-    A passage has `least` places next to each other of which SIMILAR hundredths are shared; those around a
-    shared minimum are counted here in groups by hash, large ones cut into parts.
+    A passage has a stretch of `least` places of which all but ROOM are shared; those around a shared
+    minimum are counted here in groups by hash, large ones cut into parts.
     """
-    schema = "v long, part long, side int, doc_id long, f long, l long, r long, places binary"
+    schema = "v long, part long, side int, doc_id long, tag long, c long, f long, l long, r long, places binary"
 
     def rows(batch):
         for k in range(batch.num_rows):
@@ -337,36 +337,55 @@ def _of_others(held: DataFrame, least: int) -> DataFrame:
                     continue
                 near = raw[4 * max(0, c - least + 1) : 4 * (c + least)]
                 i, j = (doc_id * 31 + c) % lefts, (doc_id * 31 + c) % rights
-                yield from ((v, p, 0, doc_id, f, l, r, near) for p in range(j, lefts * rights, rights))
+                yield from ((v, p, 0, doc_id, tag, c, f, l, r, near) for p in range(j, lefts * rights, rights))
                 if left:
-                    yield from ((v, p, 1, doc_id, f, l, r, near) for p in range(i * rights, (i + 1) * rights))
+                    yield from ((v, p, 1, doc_id, tag, c, f, l, r, near) for p in range(i * rights, (i + 1) * rights))
 
     def contexts(batches):
         for batch in batches:
             yield from _batches(rows(batch), schema)
 
-    need = -(-SIMILAR * least // 100)
-    result = "doc_id long, f long, l long, r long, source_id long"
+    need = least - ROOM
+    result = "doc_id long, tag long, c long, f long, l long, r long, source_id long, both int"
+
+    def agreeing(index: _Counter, ids: np.ndarray, doc_id: int, h: np.ndarray) -> list[tuple[int, int]]:
+        """Smaller holders with `need` places of a stretch of `least`, and how many they have."""
+        lo = np.searchsorted(index.flat, h, "left")
+        n = np.searchsorted(index.flat, h, "right") - lo
+        ends = np.cumsum(n)
+        owner, place = index.owner[np.repeat(lo - ends + n, n) + np.arange(ends[-1])], np.repeat(np.arange(1, len(h) + 1), n)
+        may = np.flatnonzero((np.bincount(owner, minlength=len(ids)) >= need) & (ids < doc_id))
+        if not len(may):
+            return []
+        rank = np.full(len(ids), -1)
+        rank[may] = np.arange(len(may))
+        kept = rank[owner] >= 0
+        has = np.zeros((len(may), len(h) + 1), np.int32)
+        has[rank[owner[kept]], place[kept]] = 1
+        has = has.cumsum(1)
+        most = (has[:, least:] - has[:, :-least]).max(1)
+        ok = most >= need
+        return list(zip(ids[may[ok]].tolist(), most[ok].tolist()))
 
     def meet(batches):
         key, holders, index, ids = None, [], None, None
         for batch in batches:
             out = []
-            for v, part, side, doc_id, f, l, r, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for v, part, side, doc_id, tag, c, f, l, r, raw in zip(*(x.to_pylist() for x in batch.columns)):
                 if (v, part) != key:
                     key, holders, index = (v, part), [], None
                 h = np.frombuffer(raw, "<u4")
                 if side == 0:
                     holders.append((doc_id, h))
-                elif holders and len(h) >= need:
+                elif holders and len(h) >= least:
                     if index is None:
                         index, ids = _Counter([np.unique(x) for _, x in holders]), np.array([x for x, _ in holders])
-                    out += [(doc_id, f, l, r, x) for x in ids[(index.shared(h) >= need) & (ids < doc_id)].tolist()]
+                    out += [(doc_id, tag, c, f, l, r, x, n) for x, n in agreeing(index, ids, doc_id, h)]
             if out:
                 yield _batch(out, result)
 
     sides = held.select(*_KEY, "places", "ws").mapInArrow(contexts, schema)
-    return sides.repartition(partitions(held.sparkSession), "v", "part").sortWithinPartitions("v", "part", "side").mapInArrow(meet, result).distinct()
+    return sides.repartition(partitions(held.sparkSession), "v", "part").sortWithinPartitions("v", "part", "side").mapInArrow(meet, result)
 
 
 def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, functions: int = FUNCTIONS, enough: int = ENOUGH) -> DataFrame:
@@ -393,11 +412,18 @@ def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, fu
     columns = F.struct("v", "tag", "f", "c", "l", "r", "left", "lefts", "rights")
     ws = marked.join(sizes, "v").groupBy("doc_id").agg(F.collect_list(columns).alias("ws"))  # as many as the document has
     held = written(_held(docs, ws, size), "held")
+    released(docs.sparkSession)
     others = written(_of_others(held, least), "others")
-    wanted, pairs = _wanted(others, 1)
-    second = _compared(held.drop("ws").join(wanted, "doc_id"), size, min_words, 1, least)
-    dropped(found, rest, held, others, pairs)
-    return first.unionByName(second).dropDuplicates([*_KEY, "start", "end", "source_id"])
+    places_ = held.drop("ws")
+    # The holder that agrees best proves most of what any does; then all of them for what is left.
+    best = others.groupBy("doc_id", "tag", "c", "f", "l", "r").agg(F.max_by("source_id", F.struct("both", -F.col("source_id"))).alias("source_id"))
+    wanted, pairs_2 = _wanted(best, 1)
+    second = _compared(places_.join(wanted, "doc_id"), size, min_words, 1, least)
+    released(docs.sparkSession)
+    wanted, pairs_3 = _wanted(_left(others, second, size), 1)
+    third = _compared(places_.join(wanted, "doc_id"), size, min_words, 1, least)
+    dropped(found, rest, held, others, pairs_2, pairs_3)
+    return first.unionByName(second).unionByName(third).dropDuplicates([*_KEY, "start", "end", "source_id"])
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
