@@ -13,10 +13,9 @@ the other document.  A passage is proven if SIMILAR hundredths of the shingles a
 words.
 
 Every window is first compared with the smallest document that holds its hash.  Then windows that no
-proven passage has, also those that too few functions share, meet all smaller holders: of those with
-enough shingles around the minimum in common the best is compared, and the others if it proves nothing.
-So a passage that a third of all documents hold costs each of them one comparison, and a line that
-unlike documents share a count.
+proven passage has, also those that too few functions share, meet all smaller holders: the one that has
+most shingles around the minimum in common, if they are enough, is compared.  So a passage that a third
+of all documents hold costs each of them one comparison, and a line that unlike documents share a count.
 """
 
 from __future__ import annotations
@@ -321,7 +320,7 @@ def _left(rows: DataFrame, proven: DataFrame, size: int) -> DataFrame:
 
 
 def _of_others(held: DataFrame, least: int) -> DataFrame:
-    """(doc_id, tag, c, f, l, r, source_id, both): windows of held (doc_id, text_id, places, ws) with every smaller holder around whose place enough shingles agree.
+    """(doc_id, tag, c, f, l, r, source_id, both): windows of held (doc_id, text_id, places, ws) with the smaller holder, of each part of those of the hash, that agrees best around their place, if enough shingles do.
 
     A passage has a stretch of `least` places of which all but ROOM are shared; those around a shared
     minimum are counted here in groups by hash, large ones cut into parts.
@@ -349,7 +348,7 @@ def _of_others(held: DataFrame, least: int) -> DataFrame:
     result = "doc_id long, tag long, c long, f long, l long, r long, source_id long, both int"
 
     def agreeing(index: _Counter, ids: np.ndarray, doc_id: int, h: np.ndarray) -> list[tuple[int, int]]:
-        """Smaller holders with `need` places of a stretch of `least`, and how many they have."""
+        """Of the smaller holders with `need` places of a stretch of `least` the one with the most, and how many it has."""
         lo = np.searchsorted(index.flat, h, "left")
         n = np.searchsorted(index.flat, h, "right") - lo
         ends = np.cumsum(n)
@@ -364,8 +363,8 @@ def _of_others(held: DataFrame, least: int) -> DataFrame:
         has[rank[owner[kept]], place[kept]] = 1
         has = has.cumsum(1)
         most = (has[:, least:] - has[:, :-least]).max(1)
-        ok = most >= need
-        return list(zip(ids[may[ok]].tolist(), most[ok].tolist()))
+        top = int(most.max())
+        return [(int(ids[may[most == top]].min()), top)] if top >= need else []
 
     def meet(batches):
         key, holders, index, ids = None, [], None, None
@@ -380,7 +379,7 @@ def _of_others(held: DataFrame, least: int) -> DataFrame:
                 elif holders and len(h) >= least:
                     if index is None:
                         index, ids = _Counter([np.unique(x) for _, x in holders]), np.array([x for x, _ in holders])
-                    out += [(doc_id, tag, c, f, l, r, x, n) for x, n in agreeing(index, ids, doc_id, h)]
+                    out += [(doc_id, tag, c, f, l, r, *x) for x in agreeing(index, ids, doc_id, h)]
             if out:
                 yield _batch(out, result)
 
@@ -415,15 +414,12 @@ def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, fu
     released(docs.sparkSession)
     others = written(_of_others(held, least), "others")
     places_ = held.drop("ws")
-    # The holder that agrees best proves most of what any does; then all of them for what is left.
+    # Each with the holder that agrees best around it, so that links grow with the windows.
     best = others.groupBy("doc_id", "tag", "c", "f", "l", "r").agg(F.max_by("source_id", F.struct("both", -F.col("source_id"))).alias("source_id"))
     wanted, pairs_2 = _wanted(best, 1)
-    second = _compared(places_.join(wanted, "doc_id"), size, min_words, 1, least)
-    released(docs.sparkSession)
-    wanted, pairs_3 = _wanted(_left(others, second, size), 1)
-    third = _compared(places_.join(wanted, "doc_id"), size, min_words, 1, least)
-    dropped(found, rest, held, others, pairs_2, pairs_3)
-    return first.unionByName(second).unionByName(third).dropDuplicates([*_KEY, "start", "end", "source_id"])
+    second = _compared(held.drop("ws").join(wanted, "doc_id"), size, min_words, 1, least)
+    dropped(found, rest, held, others, pairs_2)
+    return first.unionByName(second).dropDuplicates([*_KEY, "start", "end", "source_id"])
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
