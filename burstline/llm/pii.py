@@ -140,8 +140,12 @@ def homoglyphs(m: Mapped) -> Mapped:
 _AT, _DOT = r"(?:at|arroba|chez)", r"(?:dot|punkt|punto|point|period)"
 _BRACKET_AT = re.compile(rf" ?[\[({{<] ?(?:{_AT}|@) ?[\])}}>] ?", re.I)
 _BRACKET_DOT = re.compile(rf" ?[\[({{<] ?(?:{_DOT}|\.) ?[\])}}>] ?", re.I)
-#: Bare words count only where they stand as in an address: name at host dot end.
-_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?: {_DOT} |\.)[A-Za-z0-9_%+-]+){{0,5}}(?: {_AT} | ?@ ?)[A-Za-z0-9-]+(?:(?: {_DOT} | ?\. ?)[A-Za-z0-9-]+){{1,5}}(?![A-Za-z0-9-])", re.I)
+#: Bare words count only where they stand as in an address: name at host dot end, with any number of dots.
+_BARE = re.compile(
+    rf"(?<![A-Za-z0-9._%+-])(?<! dot )(?<! punkt )(?<! punto )(?<! point )(?<! period )"
+    rf"[A-Za-z0-9_%+-]++(?:(?: {_DOT} |\.)[A-Za-z0-9_%+-]++)*+(?: {_AT} | ?@ ?)[A-Za-z0-9-]++(?:(?: {_DOT} | ?\. ?)[A-Za-z0-9-]++)++(?![A-Za-z0-9-])",
+    re.I,
+)
 _BARE_AT, _BARE_DOT = re.compile(rf" {_AT} | ?@ ?", re.I), re.compile(rf" {_DOT} ", re.I)
 _IP_DOTS = re.compile(rf"(?<=[0-9]) ?(?:{_DOT}) ?(?=[0-9])", re.I)
 _DOT_SIGN = re.compile(rf"(?<![A-Za-z]){_DOT}(?![A-Za-z])", re.I)
