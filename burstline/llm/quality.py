@@ -35,9 +35,9 @@ def _bucket(kind: str, x: str) -> int:
 
 def shape(word: str) -> str:
     """Case and classes of a word's characters, runs shortened: "Thedn***" → "Xx*2"."""
-    letters = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:40])
+    letters = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word)
     out = re.sub(r"X{2,}", "XX", re.sub(r"x+", "x", re.sub(r"9+", "9", letters)))
-    return re.sub(r"([^\w\s])\1+", r"\g<1>2", out)[:12]
+    return re.sub(r"([^\w\s])\1+", r"\g<1>2", out)
 
 
 class Pairs(dict):
