@@ -262,20 +262,22 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Mod
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("score", "threshold", "toxic")) -> DataFrame:
     """Every row of docs with `score`, `threshold` (its language's) and `toxic` (score >= threshold).
 
-    All columns stay as they are, but for ones of these three names, which are replaced.  A null
+    All columns stay as they are, but for ones of these three names, which are replaced; `names` gives
+    others.  A null
     or empty text has no words and the score of none.  Rows that repeat score alike.
     """
-    docs = docs.drop("score", "threshold", "toxic")
+    new, limit, flag = names
+    docs = docs.drop(*names)
     if "lang" in docs.columns:
         cases = F.lit(PREDICT)
         for lang, t in sorted(model.thresholds.items()):
             cases = F.when(F.col("lang") == lang, F.lit(float(t))).otherwise(cases)
     else:
         cases = F.lit(PREDICT)
-    names, at = docs.columns, docs.columns.index("text")
+    columns, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
         known, projected = Words(), np.zeros((0, FILTERS * sum(WIDTHS)), np.float32)
@@ -286,7 +288,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     known, projected = Words(), projected[:0]
                 s, projected = scores(model, [x.as_py() or "" for x in batch.column(at).slice(lo, 64)], known, projected)
                 out.extend(s.tolist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*columns, new])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{kinds}, score double").withColumn("threshold", cases).withColumn("toxic", (F.col("score") >= F.col("threshold")).cast("int"))
+    return docs.mapInArrow(run, f"{kinds}, `{new}` double").withColumn(limit, cases).withColumn(flag, (F.col(new) >= F.col(limit)).cast("int"))
