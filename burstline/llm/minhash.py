@@ -36,7 +36,7 @@ SHINGLE, SKETCH = 5, 128
 #: Similarity in hundredths.
 SIMILAR = 80
 #: Classes and set members in a part of a block.
-PART_ROWS, PART_VALUES = 2000, 1_000_000
+PART_ROWS, PART_VALUES = 500, 250_000
 #: Ids that may be broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Texts, and bytes of them, hashed at once; a longer word makes a longer block.
@@ -243,28 +243,28 @@ def _compared(rows: DataFrame, sketch: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(cid, members) of the rows whose doc_id and set are a class of ids (cid, set_id): its whole set."""
+    """(cid, members) of the rows whose doc_id and set are a class of ids (cid, doc_id, set_id): its whole set."""
 
     def run(batches):
         for batch in batches:
             own = [x for lo in range(0, batch.num_rows, TEXTS) for x in shingles(batch.column(1).slice(lo, TEXTS).to_pylist(), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["cid", "set_id", "members"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "set_id", "members"])
 
     few = ids.count() <= BROADCAST_IDS
-    wanted = ids.select(F.col("cid").alias("doc_id")).distinct()
+    wanted = ids.select("doc_id").distinct()
     some = texts(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    made = some.mapInArrow(run, "cid long, set_id binary, members binary")
-    return made.join(F.broadcast(ids) if few else ids, ["cid", "set_id"]).dropDuplicates(["cid"]).select("cid", "members")
+    made = some.mapInArrow(run, "doc_id long, set_id binary, members binary")
+    return made.join(F.broadcast(ids) if few else ids, ["doc_id", "set_id"]).dropDuplicates(["cid"]).select("cid", "members")
 
 
 def class_links(docs: DataFrame, classes: DataFrame, size: int = SHINGLE, sketch: int = SKETCH) -> DataFrame:
-    """Links (a, b) between classes (cid, n, set_id, sketch) of docs that make their components."""
+    """Links (a, b) between classes (cid, doc_id, n, set_id, sketch) of docs that make their components."""
     index = written(_indexed(classes, sketch), "index")
     hubs = index.groupBy("v").agg(F.min("cid").alias("hub"))
     blocks = index.join(hubs, "v").groupBy("hub", "cid").agg(F.first("n").alias("n"))
     blocks = written(blocks.where("hub <> cid"), "blocks")
     hub_ids = blocks.select(F.col("hub").alias("cid"))
-    ids = written(hub_ids.unionByName(blocks.select("cid")).distinct().join(classes.select("cid", "set_id"), "cid"), "wanted")
+    ids = written(hub_ids.unionByName(blocks.select("cid")).distinct().join(classes.select("cid", "doc_id", "set_id"), "cid"), "wanted")
     sets = written(_sets(docs, ids, size), "sets")
     parts = blocks.groupBy("hub").agg(F.greatest(F.ceil(F.count("*") / PART_ROWS), F.ceil(F.sum("n") / PART_VALUES)).cast("int").alias("parts"))
     # Every class with its hub.
@@ -299,10 +299,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, sketch: int = SKETCH)
     """
     rows = written(sketches(docs, size, sketch), "sketches")
     real = rows.where("n > 0 and doc_id is not null")
-    classes = written(real.groupBy("set_id").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    # One doc_id may stand for several texts; the largest set speaks for the candidates of each class by set_id.
+    # One doc_id may stand for several texts: classes go by a hash of their set, and get a document's id at the end.
+    classes = real.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = written(classes.withColumn("cid", F.xxhash64("set_id")), "classes")
     labels = components(class_links(docs, classes, size, sketch))
-    named = classes.select("set_id", "cid").join(labels.select(F.col("node").alias("cid"), "component"), "cid", "left").select("set_id", F.coalesce("component", "cid").alias("component"))
+    labelled = classes.select("set_id", "cid", "doc_id").join(labels.select(F.col("node").alias("cid"), F.col("component").alias("label")), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component"))
+    named = labelled.join(smallest, "label").select("set_id", "component")
     found = rows.select("doc_id", "n", "set_id").join(named, "set_id", "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -147,6 +147,7 @@ def test_pii_base_is_the_patterns():
         ("４９１７０８５２５６９６０７０４", "card", "４９１７０８５２５６９６０７０４"),
         ("at one nine two dot one six eight dot one dot two zero.", "ip", "one nine two dot one six eight dot one dot two zero"),
         ("us​er@exam​ple.com", "email", "us​er@exam​ple.com"),
+        ("to a dot b dot c dot d dot e dot f dot g dot h at x dot y dot z dot u dot v dot w dot com now", "email", "a dot b dot c dot d dot e dot f dot g dot h at x dot y dot z dot u dot v dot w dot com"),
     ],
 )
 def test_pii_disguises(text, kind, found):
@@ -172,7 +173,7 @@ def test_pii_tables(stored):
     assert pii.detect(stored["odd"]).count() == len(ODD) and pii.detect(stored["none"]).count() == 0
     assert pii.redact(stored["odd"]).columns == stored["odd"].columns and pii.redact(stored["odd"]).where("text is null").count() == 1
     assert pii.redact_text("a.b@c.de or +1 (677) 555-7033") == "<email> or <phone>"
-    pii.find("1" * 200_000), pii.find("a" * 200_000 + "@"), pii.find("+" * 50_000), pii.find("one " * 50_000)
+    pii.find("1" * 200_000), pii.find("a" * 200_000 + "@"), pii.find("+" * 50_000), pii.find("one " * 50_000), pii.find("a dot " * 30_000)
 
 
 def _layout(items, capacity):
@@ -331,6 +332,19 @@ def test_minhash_is_exact(spark, tmp_path):
     assert got == {d: (len(sets[d]), c, c == d) for d, c in want.items()}
 
 
+def test_minhash_keeps_links_of_repeated_ids(spark, tmp_path):
+    rng = random.Random(31)
+    rows = []
+    for i in range(20):
+        for k in (0, 1):  # one id, two texts, and a near copy of each
+            words = prose(rng, 150).split()
+            rows += [(i, " ".join(words)), (1000 + 2 * i + k, " ".join(words[:-1] + ["other"]))]
+    at = f"file://{tmp_path}/t"
+    spark.createDataFrame(rows, SCHEMA).write.parquet(at)
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(spark.read.parquet(at), 4).collect()}
+    assert got == {(i, i) for i in range(20)} | {(1000 + 2 * i + k, i) for i in range(20) for k in (0, 1)}
+
+
 def test_minhash_cuts_large_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(minhash, "PART_ROWS", 5)
     test_minhash_is_exact(spark, tmp_path)
