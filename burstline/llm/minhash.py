@@ -40,7 +40,7 @@ PART_ROWS, PART_VALUES = 500, 250_000
 #: Ids that may be broadcast; beyond it the texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Texts, and bytes of them, hashed at once; a longer word makes a longer block.
-TEXTS, BLOCK_BYTES = 64, 1 << 22
+TEXTS, BLOCK_BYTES = 64, 1 << 18
 
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _STEP = 0xD6E8FEB86659FD93
@@ -51,7 +51,7 @@ _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BYTE[65:91] = _BYTE[97:123]
 
 
-@lru_cache(4)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2^64, and those of its inverse."""
     return tuple(np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, x, np.uint64))]) for x in (_STEP, pow(_STEP, -1, 1 << 64)))

@@ -17,7 +17,6 @@ import struct
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,8 @@ VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 #: The id that ends every document.
 END = 2
-#: Chunks of text that a worker remembers with their ids; beyond it the memory starts anew.
-REMEMBERED = 700_000
+#: Chunks of text that a task remembers with their ids; beyond it the memory starts anew.
+REMEMBERED = 400_000
 #: Texts tokenized at once.
 TEXTS = 64
 #: Chunks joined for one call of the tokenizer.
@@ -92,12 +91,6 @@ class Encoder:
         return out
 
 
-@lru_cache(1)
-def encoder(path: str) -> Encoder:
-    """One for all tasks of a worker."""
-    return Encoder(path)
-
-
 PIECES = "part int, doc_id long, piece int, start long, length int, local long, ids_crc32 long, ids binary"
 
 
@@ -106,7 +99,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = True, pat
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches):
-        encode, seen, end = encoder(path).ids, defaultdict(int), struct.pack("<I", END)
+        encode, seen, end = Encoder(path).ids, defaultdict(int), struct.pack("<I", END)
         for batch in batches:
             for lo in range(0, batch.num_rows, TEXTS):
                 own = batch.slice(lo, TEXTS)
