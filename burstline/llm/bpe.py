@@ -99,8 +99,11 @@ def _merge_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
 _RUNS = tuple(chr(c) + " " for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
+_ASCII_RUNS = tuple(r for r in _RUNS if r.isascii())
+
+
 def runs(text: str) -> bool:
-    return any(r in text for r in _RUNS)
+    return any(r in text for r in (_ASCII_RUNS if text.isascii() else _RUNS))
 
 
 #: Marks that the public pattern cuts from the letters before them.

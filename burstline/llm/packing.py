@@ -33,7 +33,7 @@ CAPACITY = 1024
 #: The id that ends every document.
 END = 2
 #: Chunks of text that a task remembers with their ids; beyond it the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Texts tokenized at once.
 TEXTS = 64
 #: Chunks joined for one call of the tokenizer.
