@@ -32,7 +32,7 @@ VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
 #: The id that ends every document.
 END = 2
-#: Chunks of text that a task remembers with their ids; beyond it the memory starts anew.
+#: Chunks of text that a task remembers with their ids; beyond it the memory starts anew with the next texts.
 REMEMBERED = 500_000
 #: Texts tokenized at once.
 TEXTS = 64
@@ -74,20 +74,21 @@ class Encoder:
             self.known.update(zip(part, [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]))
 
     def ids(self, values: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         whole = [k for k, text in enumerate(values) if spaced(text) or any(x in text for x in self.added)]
         out: list = [None] * len(values)
         for k, ids in zip(whole, self._encode([values[k] for k in whole])):
             out[k] = ids.tobytes()
         cut = {k: text.split(" ") for k, text in enumerate(values) if out[k] is None}
-        first = self._encode([chunks.pop(0) for chunks in cut.values()])
-        wanted = set().union(*cut.values())
-        new = [c for c in wanted if c not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(wanted)
-        self._chunks(new)
-        for (k, chunks), ids in zip(cut.items(), first):
-            out[k] = ids.tobytes() + b"".join(map(self.known.__getitem__, chunks))
+        first = [ids.tobytes() for ids in self._encode([chunks.pop(0) for chunks in cut.values()])]
+        found = [list(map(self.known.get, chunks)) for chunks in cut.values()]  # one look-up a chunk, and one more for new ones
+        gaps = [[i for i, ids in enumerate(own) if ids is None] if None in own else () for own in found]
+        self._chunks(list({chunks[i] for chunks, own in zip(cut.values(), gaps) for i in own}))
+        for (k, chunks), head, own, places in zip(cut.items(), first, found, gaps):
+            for i in places:
+                own[i] = self.known[chunks[i]]
+            out[k] = head + b"".join(own)
         return out
 
 
