@@ -12,20 +12,23 @@ running sum over the partitions, so that a length shared by a third of the corpu
 from __future__ import annotations
 
 import heapq
+import json
 import os
+import re
 import struct
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import runs as spaced
 from .common import texts, written
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +41,28 @@ REMEMBERED = 500_000
 TEXTS = 64
 #: Chunks joined for one call of the tokenizer.
 CHUNKS = 64
+#: Chunks that may be merged by ranks: short ones of Latin letters, marks and line ends.
+PLAIN = re.compile(r"[\n!-~\u00a1-\u024f]{1,200}").fullmatch
+
+
+@lru_cache(1)
+def rank_encoder(path: str) -> tiktoken.Encoding:
+    """The merges of the tokenizer's file as ranks."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    letters = {x: b for b, x in alphabet().items()}
+    ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token)}
+    merged = [ranks[bytes(letters[c] for c in "".join(pair if isinstance(pair, list) else pair.split(" ")))] for pair in model["merges"]]
+    if merged != sorted(merged):
+        raise ValueError("the merges are not in the order of their ids")
+    return tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def alphabet() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself where it prints, else the next from U+0100."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class Encoder:
@@ -45,12 +70,15 @@ class Encoder:
 
     A cut before a space that follows no white space changes no pre-token, so texts are cut there
     and each distinct chunk is tokenized once, CHUNKS of them in one call: a token with a leading space
-    begins a chunk.  A text in which an added token stands is tokenized whole.
+    begins a chunk.  Short Latin chunks, where patterns cannot differ by their version of
+    Unicode, are merged by the same file's ranks.  A text in which an added token or white space before a
+    space stands is tokenized whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         self.tokenizer = Tokenizer.from_file(path)
+        self.ranked = rank_encoder(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -62,12 +90,15 @@ class Encoder:
         return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(values, add_special_tokens=False)]
 
     def _chunks(self, chunks: list[str]) -> None:
-        """Tokenizes chunks, each with the space before it that is left out in `known`."""
-        alone = [c for c in chunks if not c or c[-1].isspace()]
-        self.known.update(zip(alone, [x.tobytes() for x in self._encode([" " + c for c in alone])]))
-        joined = [c for c in chunks if c not in self.known]
-        parts = [joined[k : k + CHUNKS] for k in range(0, len(joined), CHUNKS)]
-        for part, ids in zip(parts, self._encode([" " + " ".join(p) for p in parts])):
+        """Tokenizes chunks that do not end in white space, each with the space before it that is left out in `known`."""
+        plain = [c for c in chunks if PLAIN(c)]
+        others = [c for c in chunks if not PLAIN(c)] if len(plain) < len(chunks) else []
+        parts = [others[k : k + CHUNKS] for k in range(0, len(others), CHUNKS)]
+        encoded = self._encode([" " + " ".join(p) for p in parts])
+        if plain:
+            parts.append(plain)
+            encoded.append(np.array(self.ranked.encode_ordinary(" " + " ".join(plain)), "<u4"))
+        for part, ids in zip(parts, encoded):
             raw, at = ids.tobytes(), (4 * np.flatnonzero(self.spaced[ids])).tolist()
             if len(at) != len(part):
                 raise ValueError(f"{len(part)} chunks have become {len(at)}")
@@ -76,19 +107,27 @@ class Encoder:
     def ids(self, values: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        whole = [k for k, text in enumerate(values) if spaced(text) or any(x in text for x in self.added)]
+        known, whole, cut, new = self.known, [], [], set()
+        for k, text in enumerate(values):
+            head, *chunks = text.split(" ")
+            found = list(map(known.get, chunks))  # one look-up a chunk, and one more for new ones
+            gaps = [i for i, ids in enumerate(found) if ids is None] if None in found else []
+            ends = [head] if head else []
+            ends += [chunks[i] for i in gaps]  # no known chunk is empty or ends in white space
+            if any(x in text for x in self.added) or (chunks and any(not c or c[-1].isspace() for c in ends)):
+                whole.append(k)
+            else:
+                cut.append((k, head, chunks, found, gaps))
+                new.update([chunks[i] for i in gaps])
         out: list = [None] * len(values)
         for k, ids in zip(whole, self._encode([values[k] for k in whole])):
             out[k] = ids.tobytes()
-        cut = {k: text.split(" ") for k, text in enumerate(values) if out[k] is None}
-        first = [ids.tobytes() for ids in self._encode([chunks.pop(0) for chunks in cut.values()])]
-        found = [list(map(self.known.get, chunks)) for chunks in cut.values()]  # one look-up a chunk, and one more for new ones
-        gaps = [[i for i, ids in enumerate(own) if ids is None] if None in own else () for own in found]
-        self._chunks(list({chunks[i] for chunks, own in zip(cut.values(), gaps) for i in own}))
-        for (k, chunks), head, own, places in zip(cut.items(), first, found, gaps):
-            for i in places:
-                own[i] = self.known[chunks[i]]
-            out[k] = head + b"".join(own)
+        self._chunks(list(new))
+        heads = self._encode([own[1] for own in cut])
+        for (k, _, chunks, found, gaps), first in zip(cut, heads):
+            for i in gaps:
+                found[i] = known[chunks[i]]
+            out[k] = first.tobytes() + b"".join(found)
         return out
 
 

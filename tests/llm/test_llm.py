@@ -549,3 +549,19 @@ def test_pipeline_stages(spark, tmp_path):
     text = {r["doc_id"]: r["text"] for r in seen[3].collect()}
     assert rows[2][1] not in text[201] and "<email>" in text[201] and text[2] == rows[2][1] and text[202] is None
     assert corpus_pipeline.run(spark, folder).count() == seen[4].count()
+
+
+def test_packing_encoder_equals_the_library_on_odd_texts():
+    import random
+
+    import public_tokenizers
+
+    from burstline.llm.packing import VOCABULARY, Encoder
+
+    draw = random.Random(5)
+    signs = [*"ab  'sT  01.,!?\n\té中ж𝒳\x1c\x85​_-<|>", "'ll", " the", "<|endoftext|>", "   ", "\n ", " \n", "　", "x" * 300]
+    texts = ["".join(draw.choices(signs, k=draw.randint(0, 50))) for _ in range(5_000)]
+    encoder = Encoder(public_tokenizers.path(VOCABULARY))
+    got = [ids for k in range(0, len(texts), 64) for ids in encoder.ids(texts[k : k + 64])]
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert got == [b"".join(i.to_bytes(4, "little") for i in x.ids) for x in want]
