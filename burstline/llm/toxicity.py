@@ -41,7 +41,7 @@ BINS = 1000
 #: Labelled rows that may be broadcast; beyond it all texts are scored and the scores joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Words that a task remembers.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 _WORD = re.compile(r"\w+")
 
@@ -52,14 +52,17 @@ def buckets(word: str) -> list[int]:
 
 
 class Words(dict):
-    """Word → its number; `rows` has the buckets of each.  Number 0 stands for no word."""
+    """Word → its number; `rows` has the buckets of each, from number 0 or from where they were last taken out.
+
+    Number 0 stands for no word.
+    """
 
     def __init__(self):
         super().__init__()
         self.rows = [[0] * (1 + len(PREFIXES))]
 
     def __missing__(self, word: str) -> int:
-        n = self[word] = len(self.rows)
+        n = self[word] = len(self) + 1
         self.rows.append(buckets(word))
         return n
 
@@ -181,10 +184,16 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = SEED) -
 
 
 def scores(model: Model, values: list[str], known: Words, projected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Scores of some texts; the words' projections grow with the words that are new."""
+    """Scores of some texts, and the array that the words' projections stand in; it grows with the words that are new."""
     docs = [known.of(t) for t in values]
-    if len(known.rows) > len(projected):
-        projected = np.concatenate([projected, model.projected(np.array(known.rows[len(projected) :], np.int32))])
+    new, every = len(known.rows), len(known) + 1
+    if every > len(projected):
+        more = np.empty((max(every, 2 * len(projected)), projected.shape[1]), np.float32)
+        more[: every - new] = projected[: every - new]
+        projected = more
+    if new:
+        projected[every - new : every] = model.projected(np.array(known.rows, np.int32))
+        known.rows.clear()
     starts = np.cumsum([0, *map(len, docs)])[:-1]
     return model.score(np.concatenate(docs), starts, projected), projected
 
@@ -284,8 +293,8 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("score",
         for batch in batches:
             out = []
             for lo in range(0, batch.num_rows, 64):
-                if len(known.rows) > REMEMBERED:
-                    known, projected = Words(), projected[:0]
+                if len(known) > REMEMBERED:
+                    known = Words()
                 s, projected = scores(model, [x.as_py() or "" for x in batch.column(at).slice(lo, 64)], known, projected)
                 out.extend(s.tolist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*columns, new])
