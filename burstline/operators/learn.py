@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -112,17 +114,17 @@ def _assigned(df: DataFrame, centers: list[list[float]]) -> DataFrame:
     return df.withColumn("cluster", best["k"])
 
 
-def kmeans(df: DataFrame, seeds: list[int], rounds: int = 20) -> DataFrame:
-    """df with `cluster`, by Lloyd's rounds from the instances `seeds`, until no centre moves or after `rounds`.
+def kmeans(df: DataFrame, seeds: list[int], rounds: int | None = None) -> DataFrame:
+    """df with `cluster`, by Lloyd's rounds from the instances `seeds`, until no centre moves, or after `rounds` where that is given.
 
     Only the centres, seeds times features, come to the driver; each round is one aggregate over the
-    table.  A cluster that loses all its members keeps its centre; ties go to the first centre.
+    table, so df should be persisted.  Centres that move by less than 1e-9 stand still.  A cluster that loses all its members keeps its centre; ties go to the first centre.
     """
     first = {r["instance_id"]: list(r["x"]) for r in df.where(F.col("instance_id").isin(seeds)).select("instance_id", "x").collect()}
     centers = [first[s] for s in seeds if s in first]
     if not centers:
         return df.withColumn("cluster", F.lit(None).cast("int"))
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         rows = class_centroids(_assigned(df, centers), "cluster").collect()
         new = [list(c) for c in centers]
         for r in rows:

@@ -130,12 +130,12 @@ def _seeds(t: Tables) -> list[int]:
 
 @query()
 def kmeans_labels(t: Tables) -> DataFrame:
-    return learn.kmeans(_norm(t), _seeds(t)).select("instance_id", "label", "cluster")
+    return learn.kmeans(_norm(t).persist(), _seeds(t)).select("instance_id", "label", "cluster")
 
 
 @query()
 def kmeans_confusion(t: Tables) -> DataFrame:
-    return evaluate.confusion(learn.event_cluster(learn.kmeans(_norm(t), _seeds(t))))
+    return evaluate.confusion(learn.event_cluster(learn.kmeans(_norm(t).persist(), _seeds(t))))
 
 
 @query()
