@@ -223,16 +223,16 @@ def horoscope_filtered(t: Tables) -> DataFrame:
 
 
 # Companies are link texts, messages the titles of pages.
-_NAMES = sql("anchors") + """, nm AS (SELECT DISTINCT anchor AS name_id, regexp_extract_all(anchor, '[a-z0-9]+') AS k FROM anchors WHERE len(regexp_extract_all(anchor, '[a-z0-9]+')) BETWEEN 2 AND 10),
+_NAMES = sql("anchors") + """, nm AS (SELECT DISTINCT anchor AS name_id, regexp_extract_all(anchor, '[a-z0-9]+') AS k FROM anchors WHERE len(regexp_extract_all(anchor, '[a-z0-9]+')) > 0),
  tx AS (SELECT page_id AS text_id, regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[a-z0-9]+') AS k FROM pages),
- parts AS (SELECT DISTINCT name_id, len(k) AS size, n, array_to_string(k[i:i + n - 1], ' ') AS gram FROM nm, range(1, 11) r(n), range(1, 11) p(i) WHERE i + n - 1 <= len(k) AND round(n / len(k), 2) >= 0.8),
+ parts AS (SELECT DISTINCT name_id, len(k) AS size, n, array_to_string(k[i:i + n - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(k) + 1)) AS i FROM (SELECT *, unnest(range(1, len(k) + 1)) AS n FROM nm)) WHERE i + n - 1 <= len(k) AND round(n / len(k), 2) >= 0.8),
  hits AS (SELECT text_id, name_id, gram, n, size FROM tx, parts WHERE contains(' ' || array_to_string(k, ' ') || ' ', ' ' || gram || ' '))"""
 
 
 @query(_NAMES + " SELECT text_id, name_id, arg_max(gram, (n, gram)) AS gram, arg_max(round(n / size, 2), (n, gram)) AS fraction FROM hits GROUP BY 1, 2")
 def company_name_match(t: Tables) -> DataFrame:
     words = T.words(F.col("anchor"))
-    names = t.anchors().select(F.col("anchor").alias("name_id"), words.alias("tokens")).distinct().where(F.size("tokens").between(2, 10))
+    names = t.anchors().select(F.col("anchor").alias("name_id"), words.alias("tokens")).distinct().where(F.size("tokens") > 0)
     texts = t.pages.select(F.col("page_id").alias("text_id"), T.words(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("tokens"))
     return evaluate.names_in_texts(texts, names)
 
