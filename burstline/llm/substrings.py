@@ -241,10 +241,12 @@ def _batches(rows, schema: str):
         yield _batch(out, schema)
 
 
-def _held(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+def _held(docs: DataFrame, wanted: DataFrame, size: int, then: tuple | None = None) -> DataFrame:
     """(doc_id, text_id, places, and what wanted has) of every row of docs with the doc_id of a row of wanted (doc_id, one more): 32 bits of the hash of each shingle.
 
     A passage is proven by 37 places at least: one that is equal by chance, 1 in 4 billion, changes nothing.
+    `then`, a function of batches and its schema, goes on in the same Python worker: a second one a task
+    would stay beside it for all that follows.
     """
     (more,) = (c for c in wanted.columns if c != "doc_id")
 
@@ -257,7 +259,8 @@ def _held(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array([text_id(t) for t in values], pa.int64()), pa.array(held, pa.binary()), own.column(2)], [*_KEY, "places", more])
 
     kind = wanted.schema[more].dataType.simpleString()
-    return texts(docs).join(wanted, "doc_id").select("doc_id", "text", more).mapInArrow(run, f"doc_id long, text_id long, places binary, `{more}` {kind}")
+    last, schema = then or (iter, f"doc_id long, text_id long, places binary, `{more}` {kind}")
+    return texts(docs).join(wanted, "doc_id").select("doc_id", "text", more).mapInArrow(lambda batches: last(run(batches)), schema)
 
 
 def _wanted(found: DataFrame, enough: int) -> tuple[DataFrame, DataFrame]:
@@ -272,8 +275,8 @@ def _wanted(found: DataFrame, enough: int) -> tuple[DataFrame, DataFrame]:
     return mine.unionByName(theirs).groupBy("doc_id").agg(F.collect_list("job").alias("jobs")), pairs
 
 
-def _compared(held: DataFrame, size: int, min_words: int, enough: int, around: int) -> DataFrame:
-    """Passages of the rows of held (doc_id, text_id, places, jobs) in their sources."""
+def _regions(enough: int, around: int) -> tuple:
+    """A function that makes sources (side 0) and regions to compare with them (side 1) of batches (doc_id, text_id, places, jobs), and its schema."""
     schema = "source_id long, part int, side int, doc_id long, text_id long, at int, places binary"
 
     def rows(batch):
@@ -291,6 +294,12 @@ def _compared(held: DataFrame, size: int, min_words: int, enough: int, around: i
         for batch in batches:
             yield from _batches(rows(batch), schema)
 
+    return regions, schema
+
+
+def _compared(sides: DataFrame, size: int, min_words: int) -> DataFrame:
+    """Passages of the regions of sides, rows of _regions(), in their sources."""
+
     def compare(batches):
         key, source, values = None, np.zeros(0, np.uint32), None
         for batch in batches:
@@ -306,8 +315,7 @@ def _compared(held: DataFrame, size: int, min_words: int, enough: int, around: i
             if out:
                 yield _batch(out, _SPANS)
 
-    sides = held.select(*_KEY, "places", "jobs").mapInArrow(regions, schema)
-    dealt = sides.repartition(partitions(held.sparkSession), "source_id", "part").sortWithinPartitions("source_id", "part", "side", *_KEY, "at")
+    dealt = sides.repartition(partitions(sides.sparkSession), "source_id", "part").sortWithinPartitions("source_id", "part", "side", *_KEY, "at")
     return written(dealt.mapInArrow(compare, _SPANS), "proven")
 
 
@@ -401,7 +409,7 @@ def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, fu
     found = written(unpacked(every.join(shared, "v")), "found")
     dropped(every)
     wanted, pairs = _wanted(found.where("doc_id <> source_id"), enough)
-    first = _compared(_held(docs, wanted, size), size, min_words, enough, AROUND)
+    first = _compared(_held(docs, wanted, size, _regions(enough, AROUND)), size, min_words)
     dropped(pairs)
     # Windows that no proven passage has, with all smaller holders that agree around them.
     rest = written(_left(found.where("doc_id <> source_id"), first, size).withColumn("left", F.lit(True)), "left")
@@ -417,7 +425,7 @@ def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, fu
     # Each with the holder that agrees best around it, so that links grow with the windows.
     best = others.groupBy("doc_id", "tag", "c", "f", "l", "r").agg(F.max_by("source_id", F.struct("both", -F.col("source_id"))).alias("source_id"))
     wanted, pairs_2 = _wanted(best, 1)
-    second = _compared(held.drop("ws").join(wanted, "doc_id"), size, min_words, 1, least)
+    second = _compared(held.drop("ws").join(wanted, "doc_id").select(*_KEY, "places", "jobs").mapInArrow(*_regions(1, least)), size, min_words)
     dropped(found, rest, held, others, pairs_2)
     return first.unionByName(second).dropDuplicates([*_KEY, "start", "end", "source_id"])
 

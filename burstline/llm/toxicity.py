@@ -40,8 +40,8 @@ CALIBRATE = 6
 BINS = 1000
 #: Labelled rows that may be broadcast; beyond it all texts are scored and the scores joined by a shuffle.
 BROADCAST_IDS = 500_000
-#: Words that a task remembers.
-REMEMBERED = 150_000
+#: Words that a task remembers: workers stay, and with them what they hold, beside those of other stages.
+REMEMBERED = 60_000
 
 _WORD = re.compile(r"\w+")
 

@@ -4,11 +4,13 @@ import base64
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from burstline.llm import bpe, graph, licenses, media, minhash, packing, pii, quality, substrings, topk, toxicity
@@ -442,6 +444,15 @@ def test_repeats_go_on_from_a_smallest_holder_of_a_part(spark, tmp_path, monkeyp
         assert dict(held) == {30: set(range(30, 90)), 40: set(range(30, 90)), 60: set(range(120))} | want
 
 
+def test_repeats_take_one_python_worker_a_task(stored, monkeypatch):
+    plans = {}
+    own = substrings.written
+    monkeypatch.setattr(substrings, "written", lambda df, name: plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString()) or own(df, name))
+    substrings.repeats(stored["odd"])
+    # Places and regions are made in one; after the shuffle they are compared in another.
+    assert [p.count("MapInArrow") for p in plans["proven"]] == [2, 2]
+
+
 def test_passages_within_failed_runs():
     rng = np.random.default_rng(5)
     h = rng.integers(1, 1 << 60, 400).astype(np.uint64)
@@ -514,6 +525,20 @@ def test_toxicity_thresholds_see_every_labelled_row(spark):
     assert toxicity.calibrated([("en", 1, 900, 10, 10), ("en", 0, 100, 1000, 1000), ("en", 0, 700, 10, 10)]) == {"en": 0.8005}
 
 
+def test_toxicity_remembers_few_words(stored, monkeypatch):
+    frame, runs = type(stored["none"]), []
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, own=frame.mapInArrow: runs.append(f) or own(self, f, schema))
+    docs = stored["none"].select("doc_id", "text")
+    toxicity.score(docs, toxicity.fit([]))
+    batches = [pa.RecordBatch.from_arrays([pa.array([0] * 64), pa.array([" ".join(f"w{k}x{i}x{j}" for j in range(50)) for i in range(64)])], docs.columns) for k in range(60)]
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in runs[0](iter(batches))) == 60 * 64  # 192,000 distinct words
+        assert tracemalloc.get_traced_memory()[1] < 32e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_quality(spark, stored):
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(WORDS) + ("***" if i % 3 == 0 else "!" if i % 3 == 1 else "") for _ in range(50)), i % 3) for i in range(450)]
