@@ -51,6 +51,8 @@ _NOISE = np.random.default_rng(11).integers(0, 1 << 12, 1 << 16, dtype=np.uint64
 _LOW = np.uint64(63)
 #: Bits of a text's id that windows carry.
 _TAG = 0x7FFF
+#: Bits of the filter before a join by doc_id: 2 MB.
+FILTER_BITS = 1 << 24
 
 
 def compact_windows(h: np.ndarray, least: int = WINDOW, sizes: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,8 +243,18 @@ def _batches(rows, schema: str):
         yield _batch(out, schema)
 
 
-def _held(docs: DataFrame, wanted: DataFrame, size: int, then: tuple | None = None) -> DataFrame:
-    """(doc_id, text_id, places, and what wanted has) of every row of docs with the doc_id of a row of wanted (doc_id, one more): 32 bits of the hash of each shingle.
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows with a doc_id of ids (doc_id), and a few others: before a join, so that it needn't shuffle all texts."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+    number, at = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+    maps = ids.groupBy(number.alias("bucket")).agg(F.bitmap_construct_agg(at).alias("bits"))  # 512 rows of 4 KB at most
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
+    return rows.join(F.broadcast(maps), number == F.col("bucket")).where(has).select(*rows.columns)
+
+
+def _held(docs: DataFrame, wanted: DataFrame, ids: DataFrame, size: int, then: tuple | None = None) -> DataFrame:
+    """(doc_id, text_id, places, and what wanted has) of every row of docs with the doc_id of a row of wanted (doc_id, one more): 32 bits of the hash of each shingle.  ids are those of wanted, from a stored table.
 
     A passage is proven by 37 places at least: one that is equal by chance, 1 in 4 billion, changes nothing.
     `then`, a function of batches and its schema, goes on in the same Python worker: a second one a task
@@ -260,7 +272,7 @@ def _held(docs: DataFrame, wanted: DataFrame, size: int, then: tuple | None = No
 
     kind = wanted.schema[more].dataType.simpleString()
     last, schema = then or (iter, f"doc_id long, text_id long, places binary, `{more}` {kind}")
-    return texts(docs).join(wanted, "doc_id").select("doc_id", "text", more).mapInArrow(lambda batches: last(run(batches)), schema)
+    return _among(texts(docs), ids).join(wanted, "doc_id").select("doc_id", "text", more).mapInArrow(lambda batches: last(run(batches)), schema)
 
 
 def _wanted(found: DataFrame, enough: int) -> tuple[DataFrame, DataFrame]:
@@ -319,6 +331,11 @@ def _compared(sides: DataFrame, size: int, min_words: int) -> DataFrame:
     return written(dealt.mapInArrow(compare, _SPANS), "proven")
 
 
+def _both(pairs: DataFrame) -> DataFrame:
+    """The ids on both sides of pairs."""
+    return pairs.select("doc_id").unionByName(pairs.select(F.col("source_id").alias("doc_id")))
+
+
 def _left(rows: DataFrame, proven: DataFrame, size: int) -> DataFrame:
     """rows (doc_id, tag, c, ...) whose place no proven passage holds."""
     tag = F.col("text_id").bitwiseAND(F.lit(_TAG)).alias("tag")
@@ -409,24 +426,27 @@ def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, fu
     found = written(unpacked(every.join(shared, "v")), "found")
     dropped(every)
     wanted, pairs = _wanted(found.where("doc_id <> source_id"), enough)
-    first = _compared(_held(docs, wanted, size, _regions(enough, AROUND)), size, min_words)
+    first = _compared(_held(docs, wanted, _both(pairs), size, _regions(enough, AROUND)), size, min_words)
     dropped(pairs)
     # Windows that no proven passage has, with all smaller holders that agree around them.
     rest = written(_left(found.where("doc_id <> source_id"), first, size).withColumn("left", F.lit(True)), "left")
     of = lambda df, n: df.groupBy("v").agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias(n))
     sizes = of(rest, "lefts").join(of(found, "rights"), "v")
-    marked = found.join(rest.select("v", "doc_id", "tag", "c", "left").distinct(), ["v", "doc_id", "tag", "c"], "left").withColumn("left", F.coalesce("left", F.lit(False)))
+    met = found.join(sizes, "v")  # before anything else: most hashes have no window left
+    marked = met.join(rest.select("v", "doc_id", "tag", "c", "left").distinct(), ["v", "doc_id", "tag", "c"], "left").withColumn("left", F.coalesce("left", F.lit(False)))
     columns = F.struct("v", "tag", "f", "c", "l", "r", "left", "lefts", "rights")
-    ws = marked.join(sizes, "v").groupBy("doc_id").agg(F.collect_list(columns).alias("ws"))  # as many as the document has
-    held = written(_held(docs, ws, size), "held")
-    released(docs.sparkSession)
+    ws = written(marked.groupBy("doc_id").agg(F.collect_list(columns).alias("ws")), "meeting")  # as many as the document has
+    dropped(found, rest)
+    held = written(_held(docs, ws, ws.select("doc_id"), size), "held")
+    dropped(ws)
     others = written(_of_others(held, least), "others")
-    places_ = held.drop("ws")
+    released(docs.sparkSession)
     # Each with the holder that agrees best around it, so that links grow with the windows.
     best = others.groupBy("doc_id", "tag", "c", "f", "l", "r").agg(F.max_by("source_id", F.struct("both", -F.col("source_id"))).alias("source_id"))
     wanted, pairs_2 = _wanted(best, 1)
-    second = _compared(held.drop("ws").join(wanted, "doc_id").select(*_KEY, "places", "jobs").mapInArrow(*_regions(1, least)), size, min_words)
-    dropped(found, rest, held, others, pairs_2)
+    few = _among(held.drop("ws"), _both(pairs_2)).join(wanted, "doc_id")
+    second = _compared(few.select(*_KEY, "places", "jobs").mapInArrow(*_regions(1, least)), size, min_words)
+    dropped(held, others, pairs_2)
     return first.unionByName(second).dropDuplicates([*_KEY, "start", "end", "source_id"])
 
 

@@ -453,6 +453,14 @@ def test_repeats_take_one_python_worker_a_task(stored, monkeypatch):
     assert [p.count("MapInArrow") for p in plans["proven"]] == [2, 2]
 
 
+def test_repeats_join_only_texts_that_are_compared(spark):
+    ids = [0, -1, 7, 1 << 40, -(1 << 63), *range(100, 30000, 300)]
+    rows = spark.createDataFrame([(i, str(i)) for i in [None, *{*range(30000), *ids}]], SCHEMA)
+    got = [r["doc_id"] for r in substrings._among(rows, spark.createDataFrame([(i,) for i in [*ids, *ids]], "doc_id long")).collect()]
+    assert set(got) >= set(ids) and len(set(got)) == len(got) <= len(ids) + 5
+    assert substrings._among(rows, spark.createDataFrame([], "doc_id long")).count() == 0
+
+
 def test_passages_within_failed_runs():
     rng = np.random.default_rng(5)
     h = rng.integers(1, 1 << 60, 400).astype(np.uint64)
