@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, texts, written
+from .common import partitions, texts, trimmed, written
 from .graph import components
 
 SHINGLE, SKETCH = 5, 128
@@ -137,7 +137,7 @@ def sketches(docs: DataFrame, size: int = SHINGLE, sketch: int = SKETCH) -> Data
                     kept.append(own[:sketch].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "n", "set_id", "sketch"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, set_id binary, sketch binary")
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, n long, set_id binary, sketch binary")
 
 
 def _indexed(classes: DataFrame, sketch: int) -> DataFrame:
@@ -162,10 +162,10 @@ def _indexed(classes: DataFrame, sketch: int) -> DataFrame:
                     size += [n] * min(keep, len(own))
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(cid, pa.int64()), pa.array(size, pa.int64())], ["v", "cid", "n"])
 
-    every = classes.where("n > 0").select("cid", "n", "sketch").mapInArrow(values, "v long, cid long, n long")
+    every = classes.where("n > 0").select("cid", "n", "sketch").mapInArrow(trimmed(values), "v long, cid long, n long")
     shared = every.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     own = every.join(shared, "v").groupBy("cid", "n").agg(F.collect_list(F.struct("df", "v")).alias("own"))  # `sketch` values at most
-    return own.mapInArrow(prefix, "v long, cid long, n long")
+    return own.mapInArrow(trimmed(prefix), "v long, cid long, n long")
 
 
 class _Counter:
@@ -239,7 +239,7 @@ def _compared(rows: DataFrame, sketch: int) -> DataFrame:
             yield flush()
 
     n = partitions(rows.sparkSession)
-    return rows.select("hub", "part", "side", "cid", "component", "members").repartition(n, "hub", "part").sortWithinPartitions("hub", "part", "side", "cid").mapInArrow(run, "a long, b long")
+    return rows.select("hub", "part", "side", "cid", "component", "members").repartition(n, "hub", "part").sortWithinPartitions("hub", "part", "side", "cid").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -253,7 +253,7 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     few = ids.count() <= BROADCAST_IDS
     wanted = ids.select("doc_id").distinct()
     some = texts(docs).join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    made = some.mapInArrow(run, "doc_id long, set_id binary, members binary")
+    made = some.mapInArrow(trimmed(run), "doc_id long, set_id binary, members binary")
     return made.join(F.broadcast(ids) if few else ids, ["doc_id", "set_id"]).dropDuplicates(["cid"]).select("cid", "members")
 
 

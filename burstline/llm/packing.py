@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import texts, written
+from .common import texts, trimmed, written
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 1024
@@ -156,7 +156,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = True, pat
                 kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return texts(docs).withColumn("part", F.spark_partition_id()).mapInArrow(run, PIECES)
+    return texts(docs).withColumn("part", F.spark_partition_id()).mapInArrow(trimmed(run), PIECES)
 
 
 class SegmentTree:
@@ -255,7 +255,7 @@ def placed(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], [*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in ranked.dtypes)
-    return ranked.mapInArrow(run, f"{kinds}, sequence_id long, offset long").drop("rank")
+    return ranked.mapInArrow(trimmed(run), f"{kinds}, sequence_id long, offset long").drop("rank")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:

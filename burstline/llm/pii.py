@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -256,7 +256,7 @@ def detect(docs: DataFrame) -> DataFrame:
             cells = list(zip(*rows)) or [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cells, kinds))], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_disguised"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long")
+    return texts(docs).mapInArrow(trimmed(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long")
 
 
 def redact_text(text: str) -> str:
@@ -279,4 +279,4 @@ def redact(docs: DataFrame) -> DataFrame:
             new = [None if (t := x.as_py()) is None else redact_text(t) for x in batch.column(at)]
             yield batch.set_column(at, "text", pa.array(new, pa.string()))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(trimmed(run), docs.withColumn("text", F.col("text").cast("string")).schema)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, partitions, released, texts, written
+from .common import dropped, partitions, released, texts, trimmed, written
 from .minhash import SIMILAR, TEXTS, _Counter, mixed, places
 
 SHINGLE, FUNCTIONS, ENOUGH = 5, 4, 2
@@ -116,7 +116,7 @@ def windows(docs: DataFrame, size: int = SHINGLE, functions: int = FUNCTIONS, le
                     w = tags[row] << 47 | c - (ends - sizes)[row] << 15 | c - l << 9 | r - c << 3 | f
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (salted[c].view(np.int64), ids[row], w)], ["v", "doc_id", "w"])
 
-    return texts(docs).mapInArrow(run, "v long, doc_id long, w long")
+    return texts(docs).mapInArrow(trimmed(run), "v long, doc_id long, w long")
 
 
 def unpacked(df: DataFrame) -> DataFrame:
@@ -243,14 +243,16 @@ def _batches(rows, schema: str):
         yield _batch(out, schema)
 
 
-def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows with a doc_id of ids (doc_id), and a few others: before a join, so that it needn't shuffle all texts."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)) + 1
+def _among(rows: DataFrame, ids: DataFrame, others: bool = False) -> DataFrame:
+    """Rows with a doc_id of ids (doc_id), and a few others: before a join, so that it needn't shuffle all texts.  With `others`, the rows that are left."""
+    hashed = F.xxhash64(F.col("doc_id").cast("long"))
+    bit = F.pmod(hashed, F.lit(FILTER_BITS)) + 1
     number, at = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
-    maps = ids.groupBy(number.alias("bucket")).agg(F.bitmap_construct_agg(at).alias("bits"))  # 512 rows of 4 KB at most
-    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    has = byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0
-    return rows.join(F.broadcast(maps), number == F.col("bucket")).where(has).select(*rows.columns)
+    bucket, bits = (max(rows.columns, key=len) + x for x in ("_bucket", "_bits"))  # longer than any name of rows
+    maps = ids.groupBy(number.alias(bucket)).agg(F.bitmap_construct_agg(at).alias(bits))  # 512 rows of 4 KB at most
+    byte = F.conv(F.hex(F.substring(bits, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.col("doc_id").isNotNull() & F.coalesce(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False))
+    return rows.join(F.broadcast(maps), number == F.col(bucket), "left").where(~has if others else has).select(*rows.columns)
 
 
 def _held(docs: DataFrame, wanted: DataFrame, ids: DataFrame, size: int, then: tuple | None = None) -> DataFrame:
@@ -272,7 +274,7 @@ def _held(docs: DataFrame, wanted: DataFrame, ids: DataFrame, size: int, then: t
 
     kind = wanted.schema[more].dataType.simpleString()
     last, schema = then or (iter, f"doc_id long, text_id long, places binary, `{more}` {kind}")
-    return _among(texts(docs), ids).join(wanted, "doc_id").select("doc_id", "text", more).mapInArrow(lambda batches: last(run(batches)), schema)
+    return _among(texts(docs), ids).join(wanted, "doc_id").select("doc_id", "text", more).mapInArrow(trimmed(lambda batches: last(run(batches))), schema)
 
 
 def _wanted(found: DataFrame, enough: int) -> tuple[DataFrame, DataFrame]:
@@ -328,7 +330,7 @@ def _compared(sides: DataFrame, size: int, min_words: int) -> DataFrame:
                 yield _batch(out, _SPANS)
 
     dealt = sides.repartition(partitions(sides.sparkSession), "source_id", "part").sortWithinPartitions("source_id", "part", "side", *_KEY, "at")
-    return written(dealt.mapInArrow(compare, _SPANS), "proven")
+    return written(dealt.mapInArrow(trimmed(compare), _SPANS), "proven")
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -408,8 +410,8 @@ def _of_others(held: DataFrame, least: int) -> DataFrame:
             if out:
                 yield _batch(out, result)
 
-    sides = held.select(*_KEY, "places", "ws").mapInArrow(contexts, schema)
-    return sides.repartition(partitions(held.sparkSession), "v", "part").sortWithinPartitions("v", "part", "side").mapInArrow(meet, result)
+    sides = held.select(*_KEY, "places", "ws").mapInArrow(trimmed(contexts), schema)
+    return sides.repartition(partitions(held.sparkSession), "v", "part").sortWithinPartitions("v", "part", "side").mapInArrow(trimmed(meet), result)
 
 
 def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, functions: int = FUNCTIONS, enough: int = ENOUGH) -> DataFrame:
@@ -445,22 +447,24 @@ def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, fu
     best = others.groupBy("doc_id", "tag", "c", "f", "l", "r").agg(F.max_by("source_id", F.struct("both", -F.col("source_id"))).alias("source_id"))
     wanted, pairs_2 = _wanted(best, 1)
     few = _among(held.drop("ws"), _both(pairs_2)).join(wanted, "doc_id")
-    second = _compared(few.select(*_KEY, "places", "jobs").mapInArrow(*_regions(1, least)), size, min_words)
+    regions, schema = _regions(1, least)
+    second = _compared(few.select(*_KEY, "places", "jobs").mapInArrow(trimmed(regions), schema), size, min_words)
     dropped(held, others, pairs_2)
     return first.unionByName(second).dropDuplicates([*_KEY, "start", "end", "source_id"])
 
 
 def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs without the passages of spans (doc_id, text_id, start, end): their words go, with the white space after them.
+    """docs, a stored table, without the passages of spans (doc_id, text_id, start, end): their words go, with the white space after them.
 
     All columns stay; n_chars, where there is one, follows the text.  Texts without a passage stay as
-    they are, also null ones.
+    they are, also null ones; only those that have one are shuffled and meet Python.
     """
     names = docs.columns
     at = names.index("text")
     key, cuts = (max(names, key=len) + x for x in ("_key", "_cuts"))  # longer than any name of docs
-    lists = spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("text_id", "start", "end")).alias(cuts))  # as many as the document has
-    joined = docs.join(lists, F.col("doc_id").cast("long") == F.col(key), "left").select(*names, cuts)
+    lists = written(spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("text_id", "start", "end")).alias(cuts)), "cuts")  # as many as the document has
+    ids = lists.select(F.col(key).alias("doc_id"))
+    joined = _among(docs, ids).join(lists, F.col("doc_id").cast("long") == F.col(key), "left").select(*names, cuts)
 
     def cut(text, spans):
         own = text_id(text) if spans and text else None
@@ -472,7 +476,7 @@ def without(docs: DataFrame, spans: DataFrame) -> DataFrame:
             texts_ = [cut(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(texts_, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names)
 
-    out = joined.mapInArrow(run, docs.schema)
+    out = joined.mapInArrow(trimmed(run), docs.schema).unionByName(_among(docs, ids, others=True))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

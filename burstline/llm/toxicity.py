@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, trimmed
 
 #: Labelled rows of each label that the fit may read.
 PER_LABEL = 3000
@@ -225,7 +225,7 @@ def histogram(docs: DataFrame, labels: DataFrame, model: Model, fitted: list[int
     spark = docs.sparkSession
     own = labelled(labels)
     few = own.count() <= BROADCAST_IDS
-    ids = spark.createDataFrame([(x,) for x in fitted], "doc_id long").distinct().withColumn("fitted", F.lit(True))
+    ids = spark.createDataFrame(pa.table({"doc_id": pa.array(fitted, pa.int64())})).distinct().withColumn("fitted", F.lit(True))
     rows = texts(docs, F.col("lang").cast("string").alias("lang")).where((fold(F.col("doc_id")) != 1) & F.col("lang").isNotNull())
     if few:  # else all of them are scored, so that no text is shuffled
         rows = rows.join(F.broadcast(own.select("doc_id")), "doc_id", "left_semi")
@@ -300,4 +300,4 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("score",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*columns, new])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{kinds}, `{new}` double").withColumn(limit, cases).withColumn(flag, (F.col(new) >= F.col(limit)).cast("int"))
+    return docs.mapInArrow(trimmed(run), f"{kinds}, `{new}` double").withColumn(limit, cases).withColumn(flag, (F.col(new) >= F.col(limit)).cast("int"))

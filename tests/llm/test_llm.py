@@ -13,7 +13,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 import tiktoken
-from burstline.llm import bpe, graph, licenses, media, minhash, packing, pii, quality, substrings, topk, toxicity
+from burstline.llm import bpe, common, graph, licenses, media, minhash, packing, pii, quality, substrings, topk, toxicity
 from pyspark.sql import functions as F
 
 RNG = random.Random(4)
@@ -461,6 +461,22 @@ def test_repeats_join_only_texts_that_are_compared(spark):
     assert substrings._among(rows, spark.createDataFrame([], "doc_id long")).count() == 0
 
 
+def test_cuts_shuffle_only_texts_with_passages(spark, tmp_path, monkeypatch):
+    rows = [(i, f"a{i} b c", i, "x", "y") for i in range(60)] + [(None, "a7 b c", 0, "x", None), (7, "other words", 0, None, "y"), (8, None, 0, "x", "y")]
+    spark.createDataFrame(rows, "doc_id int, text string, n_chars int, bucket string, bits string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    spans = spark.createDataFrame([(i, substrings.text_id(f"a{i} b c"), 1, 3) for i in (7, 20)], "doc_id long, text_id long, start long, end long")
+    joined, own = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **b: joined.append(self) or own(self, *a, **b))
+    out = substrings.without(docs, spans)
+    assert out.dtypes == docs.dtypes
+    cut = [(i, f"a{i} " if i in (7, 20) and t and t != "other words" else t, *more) for i, t, _, *more in rows]
+    assert sorted(map(repr, out.select("doc_id", "text", "bucket", "bits").collect())) == sorted(repr(r) for r in spark.createDataFrame(cut, "doc_id int, text string, bucket string, bits string").collect())
+    assert out.where("n_chars <> length(text)").isEmpty()
+    assert [df.count() for df in joined] == [3]  # not the whole table
+    assert substrings.without(docs, spans.limit(0)).count() == len(rows)
+
+
 def test_passages_within_failed_runs():
     rng = np.random.default_rng(5)
     h = rng.integers(1, 1 << 60, 400).astype(np.uint64)
@@ -533,6 +549,23 @@ def test_toxicity_thresholds_see_every_labelled_row(spark):
     assert toxicity.calibrated([("en", 1, 900, 10, 10), ("en", 0, 100, 1000, 1000), ("en", 0, 700, 10, 10)]) == {"en": 0.8005}
 
 
+def test_workers_give_memory_back(monkeypatch):
+    """After the last batch of a task, when what the function held is gone."""
+    held, left = [], []
+
+    class Words(dict):
+        def __del__(self):
+            held.append("gone")
+
+    def run(batches):
+        known = Words()
+        for b in batches:
+            yield b, len(known)
+
+    monkeypatch.setattr(common, "trim", lambda: left.extend(held))
+    assert list(common.trimmed(run)(iter([1, 2]))) == [(1, 0), (2, 0)] and left == ["gone"]
+
+
 def test_toxicity_remembers_few_words(stored, monkeypatch):
     frame, runs = type(stored["none"]), []
     monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, own=frame.mapInArrow: runs.append(f) or own(self, f, schema))
