@@ -177,16 +177,57 @@ class Block:
         return np.diff(bounds).tolist(), at
 
 
-def blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int) -> Iterator[tuple[int, Block]]:
+class Distinct:
+    """The distinct pre-tokens of what would be a Block, without their positions."""
+
+    def __init__(self, pattern: str):
+        self.find, self.known = regex.compile(pattern).findall, pattern == public_tokenizers.PATTERN
+        self.whole: set[str] = set()
+        self.chunks: set[str] = set()
+        self.ids, self.chars = [], 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        if runs(text):
+            self.whole.update(self.find(text))
+        elif text:
+            first, *rest = text.split(" ")
+            self.whole.update(self.find(first))
+            self.chunks.update(rest)
+        self.ids.append(doc_id)
+        self.chars += len(text)
+
+    def words(self) -> set[str]:
+        out, find = set(self.whole), self.find
+        for c in self.chunks:
+            if self.known and c.isalpha():
+                out.add(" " + c)
+            elif self.known and c[-1:] in _ENDS and c[:-1].isalpha():
+                out.update((" " + c[:-1], c[-1]))
+            else:
+                out.update(find(" " + c))
+        return out
+
+    def buckets(self, rank: dict[bytes, int], n: int) -> list[list[bytes]]:
+        """The words of _buckets() of the Block."""
+        out: list[list[bytes]] = [[] for _ in range(n)]
+        for word in self.words():
+            if (raw := word.encode("utf-8", "surrogatepass")) not in rank:
+                out[zlib.crc32(raw) % n].append(raw)
+        for x in out:
+            x.sort()
+        return out
+
+
+def blocks(batches: Iterator[pa.RecordBatch], pattern: str, block_chars: int, kind: type = Block) -> Iterator[tuple[int, Block | Distinct]]:
     """Numbered by partition and place."""
-    block, at = Block(pattern), 0
+    block, at = kind(pattern), 0
     for batch in batches:
         at = at or (batch.column(2)[0].as_py() << 32 if batch.num_rows else 0)
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             block.add(doc_id, text.as_py())
             if block.chars >= block_chars:
                 yield at, block
-                block, at = Block(pattern), at + 1
+                block, at = kind(pattern), at + 1
     if block.ids:
         yield at, block
 
@@ -264,8 +305,8 @@ def word_ids(docs: DataFrame, path: str, pattern: str, block_chars: int = BLOCK_
 
     def words(batches):
         rank = ranks(path)
-        for k, block in blocks(batches, pattern, block_chars):
-            rows = [(b, _pack([w for w, _ in x])) for b, x in enumerate(_buckets(block, rank, n)) if x]
+        for k, block in blocks(batches, pattern, block_chars, Distinct):
+            rows = [(b, _pack(x)) for b, x in enumerate(block.buckets(rank, n)) if x]
             if rows:
                 at = pa.array([k] * len(rows), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), at, pa.array([r[1] for r in rows], pa.binary())], ["bucket", "block", "words"])
@@ -371,16 +412,16 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def _digest_rows(path, doc_ids, counts, at, words):
     table = token_bytes(path)
-    said = [" ".join(map(str, x)) for x in words]
-    raw = [b"".join([table[i] for i in x]) for x in words]
+    said = np.array([" ".join(map(str, x)).encode() for x in words], object)
+    raw = np.array([b"".join([table[i] for i in x]) for x in words], object)
     size = np.array([len(x) for x in words], np.int64)[at] if len(at) else np.zeros(0, np.int64)
     total = np.concatenate([[0], np.cumsum(size)])
-    at, start, n, a, b = at.tolist(), 0, [], [], []
+    start, n, a, b = 0, [], [], []
     for c in counts:
         own = at[start : start + c]
         n.append(int(total[start + c] - total[start]))
-        a.append(hashlib.sha256(" ".join([said[w] for w in own]).encode()).hexdigest())
-        b.append(hashlib.sha256(b"".join([raw[w] for w in own])).hexdigest())
+        a.append(hashlib.sha256(b" ".join(said[own].tolist())).hexdigest())
+        b.append(hashlib.sha256(b"".join(raw[own].tolist())).hexdigest())
         start += c
     return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -96,6 +96,19 @@ def test_bpe_blocks_cut_as_the_pattern():
         assert [words[i] for i in block.positions()[1]] == find(text)
 
 
+@pytest.mark.parametrize("pattern", [P.PATTERN, r"\S+|\s+"])
+def test_bpe_words_need_no_positions(pattern):
+    """The scan for distinct words gives those of the scan for positions, and doesn't number them."""
+    texts = [t for _, t in ODD if t] + ["", "  x", "a, b; c\t d.\n", "Straße 12, \u2028 x", "\ud800 y", "don't stop. 東京 タワー!"]
+    block, distinct = bpe.Block(pattern), bpe.Distinct(pattern)
+    for k, t in enumerate(texts):
+        block.add(k, t)
+        distinct.add(k, t)
+    assert distinct.words() == {*block.index} and (distinct.ids, distinct.chars) == (block.ids, block.chars)
+    rank = bpe.ranks(P.path(bpe.VOCABULARY))
+    assert distinct.buckets(rank, 7) == [[w for w, _ in x] for x in bpe._buckets(block, rank, 7)]
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 5) / 1024]) for i in range(300)]
