@@ -25,7 +25,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, partitions, released, texts, trimmed, written
@@ -346,8 +346,8 @@ def _left(rows: DataFrame, proven: DataFrame, size: int) -> DataFrame:
     return rows.join(spans, ["doc_id", "tag"], "left").where(~F.coalesce(within, F.lit(False))).select(*rows.columns)
 
 
-def _of_others(held: DataFrame, least: int) -> DataFrame:
-    """(doc_id, tag, c, f, l, r, source_id, both): windows of held (doc_id, text_id, places, ws) with the smaller holder, of each part of those of the hash, that agrees best around their place, if enough shingles do.
+def _of_others(docs: DataFrame, meeting: DataFrame, size: int, least: int) -> DataFrame:
+    """(doc_id, tag, c, f, l, r, source_id, both): windows of meeting (doc_id, ws), a stored table, with the smaller holder, of each part of those of the hash, that agrees best around their place, if enough shingles do.
 
     A passage has a stretch of `least` places of which all but ROOM are shared; those around a shared
     minimum are counted here in groups by hash, large ones cut into parts.
@@ -410,8 +410,8 @@ def _of_others(held: DataFrame, least: int) -> DataFrame:
             if out:
                 yield _batch(out, result)
 
-    sides = held.select(*_KEY, "places", "ws").mapInArrow(trimmed(contexts), schema)
-    return sides.repartition(partitions(held.sparkSession), "v", "part").sortWithinPartitions("v", "part", "side").mapInArrow(trimmed(meet), result)
+    sides = _held(docs, meeting, meeting.select("doc_id"), size, (contexts, schema))
+    return sides.repartition(partitions(docs.sparkSession), "v", "part").sortWithinPartitions("v", "part", "side").mapInArrow(trimmed(meet), result)
 
 
 def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, functions: int = FUNCTIONS, enough: int = ENOUGH) -> DataFrame:
@@ -423,10 +423,11 @@ def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, fu
     a passage stands in; other columns are left out; an empty table has none.
     """
     least = min_words - size + 1
-    every = written(windows(docs, size, functions, least), "windows")
-    shared = every.groupBy("v").agg(F.min("doc_id").alias("source_id"), F.max("doc_id").alias("last")).where("source_id <> last").drop("last")
-    found = written(unpacked(every.join(shared, "v")), "found")
-    dropped(every)
+    # One shuffle by hash; rows of a hash stay where they are for its smallest holder.
+    same = Window.partitionBy("v")
+    shared = windows(docs, size, functions, least).withColumns({"source_id": F.min("doc_id").over(same), "last": F.max("doc_id").over(same)}).where("source_id <> last").drop("last")
+    found = written(unpacked(shared), "found")
+    released(docs.sparkSession)
     wanted, pairs = _wanted(found.where("doc_id <> source_id"), enough)
     first = _compared(_held(docs, wanted, _both(pairs), size, _regions(enough, AROUND)), size, min_words)
     dropped(pairs)
@@ -439,17 +440,13 @@ def repeats(docs: DataFrame, size: int = SHINGLE, min_words: int = MIN_WORDS, fu
     columns = F.struct("v", "tag", "f", "c", "l", "r", "left", "lefts", "rights")
     ws = written(marked.groupBy("doc_id").agg(F.collect_list(columns).alias("ws")), "meeting")  # as many as the document has
     dropped(found, rest)
-    held = written(_held(docs, ws, ws.select("doc_id"), size), "held")
+    others = written(_of_others(docs, ws, size, least), "others")
     dropped(ws)
-    others = written(_of_others(held, least), "others")
-    released(docs.sparkSession)
     # Each with the holder that agrees best around it, so that links grow with the windows.
     best = others.groupBy("doc_id", "tag", "c", "f", "l", "r").agg(F.max_by("source_id", F.struct("both", -F.col("source_id"))).alias("source_id"))
-    wanted, pairs_2 = _wanted(best, 1)
-    few = _among(held.drop("ws"), _both(pairs_2)).join(wanted, "doc_id")
-    regions, schema = _regions(1, least)
-    second = _compared(few.select(*_KEY, "places", "jobs").mapInArrow(trimmed(regions), schema), size, min_words)
-    dropped(held, others, pairs_2)
+    wanted, pairs = _wanted(best, 1)
+    second = _compared(_held(docs, wanted, _both(pairs), size, _regions(1, least)), size, min_words)
+    dropped(others, pairs)
     return first.unionByName(second).dropDuplicates([*_KEY, "start", "end", "source_id"])
 
 

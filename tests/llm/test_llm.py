@@ -466,6 +466,16 @@ def test_repeats_take_one_python_worker_a_task(stored, monkeypatch):
     assert [p.count("MapInArrow") for p in plans["proven"]] == [2, 2]
 
 
+def test_repeats_shuffle_windows_once(stored, monkeypatch):
+    plans = {}
+    own = substrings.written
+    monkeypatch.setattr(substrings, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and own(df, name))
+    substrings.repeats(stored["odd"])
+    # Neither all windows nor the places of all texts that meet are stored, and windows meet by hash in one shuffle.
+    assert not {"windows", "held"} & set(plans)
+    assert plans["found"].count("Exchange hashpartitioning(v#") == 1 and "Join" not in plans["found"]
+
+
 def test_repeats_join_only_texts_that_are_compared(spark):
     ids = [0, -1, 7, 1 << 40, -(1 << 63), *range(100, 30000, 300)]
     rows = spark.createDataFrame([(i, str(i)) for i in [None, *{*range(30000), *ids}]], SCHEMA)
