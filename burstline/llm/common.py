@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import suppress
 
@@ -14,6 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stored import shared_dir, written
+
+__all__ = ["dropped", "partitions", "released", "session", "shared_dir", "table", "texts", "trim", "trimmed", "written"]
+
 #: Rows in an Arrow batch: long texts make 10,000 rows too much for one Python worker.
 BATCH_ROWS = 512
 
@@ -33,27 +34,6 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that all executors share; where none is named, a local one, in a local session only."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="burstline-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out.stored_at = at
-    return out
-
-
 def released(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of finished plans; the job before it makes the scheduler forget the last one."""
     spark.range(1).collect()

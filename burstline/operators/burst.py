@@ -9,12 +9,12 @@ from ..functions import scores as S
 from . import stats
 
 
-def burst_scores(df: DataFrame) -> DataFrame:
+def burst_scores(df: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """(window_id, unit, f, u, ps, expected, sigma, pb, wb) of units above their expected count.
 
-    The counts by window and unit are shared by ps and the scores; totals are one row a window.
+    The counts by window and unit are shared by ps and the scores; totals are one row a window, made of df if not given.
     """
-    totals = stats.window_totals(df)
+    totals = stats.window_totals(df) if totals is None else totals
     counts = stats.unit_counts(df)
     ps = stats.unit_ps(counts, totals)
     own = counts.join(totals, "window_id").join(ps, "unit")

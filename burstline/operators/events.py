@@ -9,16 +9,22 @@ from ..functions import scores as S
 from ..functions import text as T
 
 
+def subgrams(units: DataFrame) -> DataFrame:
+    """(unit, n, gram): the grams that units consist of, and how many words a unit has."""
+    own = units.select("unit").distinct().withColumn("w", F.split("unit", "[ _]"))
+    return own.select("unit", F.size("w").alias("n"), F.explode(T.subgrams(F.col("w"))).alias("gram"))
+
+
 def newsworthiness(units: DataFrame, anchors: DataFrame, unify: bool = False) -> DataFrame:
     """(unit, worth): of a word exp(p), else the largest exp(p) - 1 over its sub-grams; 0 for what no link holds.
 
     unify=True takes exp(p) - 1 for words too.
     """
-    own = units.select("unit").distinct().withColumn("w", F.split("unit", "[ _]"))
-    sub = own.select("unit", F.size("w").alias("n"), F.explode(T.subgrams(F.col("w"))).alias("gram"))
+    own = units.select("unit").distinct()
+    sub = subgrams(units)
     value = F.exp("prob") - (1 if unify else F.when(F.col("n") > 1, 1.0).otherwise(0.0))
     worth = sub.join(anchors.select("gram", "prob"), "gram").withColumn("v", value).groupBy("unit").agg(F.max("v").alias("worth"))
-    return own.select("unit").join(worth, "unit", "left").select("unit", S.rounded(F.coalesce("worth", F.lit(0.0))).alias("worth"))
+    return own.join(worth, "unit", "left").select("unit", S.rounded(F.coalesce("worth", F.lit(0.0))).alias("worth"))
 
 
 def measured(clusters: DataFrame, edges: DataFrame, top: DataFrame, worth: DataFrame) -> DataFrame:

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import scores as S
 from ..functions import text as T
+from ..sources.stored import written
 
 LONGEST = 5
+#: Two to this power is the number of bits that tell which grams are wanted.
+FILTER_BITS = 27
+#: Texts whose grams are looked up at once.
+ROWS = 256
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(df: DataFrame, longest: int = LONGEST, *keep: str) -> DataFrame:
@@ -23,15 +36,91 @@ def log_probabilities(df: DataFrame, longest: int = LONGEST) -> DataFrame:
     return counts.join(F.broadcast(totals), "n").select("gram", "n", "count", F.log10(F.col("count") / F.col("total")).alias("logp"))  # one total a length
 
 
-def keyphraseness(anchors: DataFrame, pages: DataFrame, longest: int = LONGEST) -> DataFrame:
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word of a column."""
+    enc = words.dictionary_encode()
+    own = np.array([zlib.crc32(w.encode()) for w in enc.dictionary.to_pylist()] or [0], np.uint64)
+    return own[enc.indices.to_numpy(zero_copy_only=False)] * _ODD if len(words) else np.zeros(0, np.uint64)
+
+
+def _longer(h: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-grams at all places, from those of the (n - 1)-grams and of the words."""
+    return (h[:-1] ^ h[:-1] >> np.uint64(29)) * _ODD + word[n - 1 :]
+
+
+def _bit(h: np.ndarray) -> np.ndarray:
+    for by in (30, 27):
+        h = (h ^ h >> np.uint64(by)) * _ODD
+    return (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def gram_filter(wanted: DataFrame):
+    """2^FILTER_BITS bits of the grams of wanted (gram), as a broadcast value: 16 MB, whatever their number."""
+
+    def bits(batches):
+        for batch in batches:
+            lists = pc.split_pattern(batch.column(0), " ")
+            word, ends = _hashes(lists.flatten()), lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+            n, out = np.diff(lists.offsets.to_numpy()), np.zeros(batch.num_rows, np.int64)
+            h = word
+            for size in range(1, int(n.max(initial=0)) + 1):
+                h = _longer(h, word, size) if size > 1 else h
+                own = n == size
+                out[own] = _bit(h[ends[own] - size])
+            yield pa.RecordBatch.from_arrays([pa.array(out)], ["bit"])
+
+    at = F.col("bit") + 1
+    rows = wanted.select("gram").mapInArrow(bits, "bit long").groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect()
+    every = np.zeros(1 << FILTER_BITS - 3, np.uint8)
+    for k, own in rows:
+        every[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(own), np.uint8)
+    return wanted.sparkSession.sparkContext.broadcast(every)
+
+
+def grams_among(df: DataFrame, wanted, longest: int, key: str, once: bool = False) -> DataFrame:
+    """(key, n, gram) of the places of df (key, tokens) whose gram is in the filter `wanted`: all that it was made of, and a few others.
+
+    Only these are made and shuffled.  With once=True a word is given once a row.
+    """
+    schema = T_.StructType([df.schema[key], *T_._parse_datatype_string("n int, gram string")])
+    kind = to_arrow_schema(schema)
+
+    def run(batches):
+        bits = wanted.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS):
+                keys, lists = batch.column(0).slice(lo, ROWS), batch.column(1).slice(lo, ROWS)
+                flat, sizes = lists.flatten(), pc.list_value_length(lists).fill_null(0).to_numpy()
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                ends = np.repeat(np.cumsum(sizes), sizes)
+                word = _hashes(flat)
+                h = word
+                for n in range(1, longest + 1):
+                    if len(flat) < n:
+                        break
+                    h = _longer(h, word, n) if n > 1 else h
+                    bit = _bit(h)
+                    at = np.flatnonzero((bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1) & (np.arange(len(h)) + n <= ends[: len(h)]))
+                    if n == 1 and once:
+                        code = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+                        at = at[np.unique(row[at] * len(flat) + code[at], return_index=True)[1]]
+                    if len(at):
+                        parts = [flat.take(pa.array(at + i)) for i in range(n)]
+                        yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[at])), pa.array(np.full(len(at), n, np.int32)), pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0]], schema=kind)
+
+    return df.select(key, "tokens").mapInArrow(run, schema)
+
+
+def keyphraseness(anchors: DataFrame, pages: DataFrame, longest: int = LONGEST, among: DataFrame | None = None) -> DataFrame:
     """(gram, linked, pages, prob): of the pages that hold a gram, the share that hold it inside a link.
 
-    Both sides are grams of pages; they meet by gram, and only grams of links are counted.
+    Both sides are grams of pages; they meet by gram, and only grams of links are counted, or of these the ones that are among (gram).
     """
     link = anchors.select("page_id", T.words(F.col("anchor")).alias("tokens"))
-    linked = grams(link, longest, "page_id").groupBy("gram").agg(F.count_distinct("page_id").alias("linked"))
+    own = grams(link, longest, "page_id") if among is None else grams_among(link, gram_filter(among), longest, "page_id", True).join(among.select("gram"), "gram", "left_semi")
+    linked = written(own.groupBy("gram").agg(F.count_distinct("page_id").alias("linked")), "linked")
     body = pages.select("page_id", T.words(F.regexp_replace("html", "<[^>]*>", " ")).alias("tokens"))
-    held = grams(body, longest, "page_id").join(linked.select("gram"), "gram", "left_semi").groupBy("gram").agg(F.count_distinct("page_id").alias("pages"))
+    held = grams_among(body, gram_filter(linked), longest, "page_id", True).groupBy("gram").agg(F.count_distinct("page_id").alias("pages"))
     return linked.join(held, "gram").select("gram", "linked", "pages", F.least(F.col("linked") / F.col("pages"), F.lit(1.0)).alias("prob"))
 
 

@@ -5,6 +5,8 @@ Messages are the turns of the conversations, units their words.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..functions.stem import stem
 from ..operators import affix, burst, events, features, graph, segment, stats
+from ..sources.stored import written
 from ..sources.tables import SQL, Tables, sql
 from .bursts import ANCHORS
 from .catalog import query
@@ -62,45 +65,49 @@ RANKED = WORTH + """,
 
 
 class Plan:
-    """The event pipeline over the turns; each step is planned once and shared by what follows."""
+    """The event pipeline over the turns; each step is planned once, stored, and read by what follows.
+
+    All that is stored has a few rows for each of the K units of a window, so that disk and plans stay small.
+    """
 
     def __init__(self, t: Tables):
         self.t = t
-        self.words = t.turn_words()
-        # Used many times below, and bounded: K units a window.
-        self.top = burst.top_units(burst.burst_scores(self.words), K).persist()
+        self.turns = t.turns()
+        #: A word once a message.
+        self.words = self.turns.select("tweet_id", "user_id", "window_id", "hour", F.explode(F.array_distinct("tokens")).alias("unit"))
+        self.totals = stats.window_totals(self.turns.where(F.size("tokens") > 0))
+        self.top = written(burst.top_units(burst.burst_scores(self.words, self.totals), K), "top")
 
     def weights(self) -> DataFrame:
-        return graph.tfidf(self.words, self.top, PARTS)
+        return graph.tfidf(self.turns, self.top, PARTS)
 
     def sim(self) -> DataFrame:
-        return graph.pair_similarity(self.weights(), graph.segment_shares(self.words, self.top, PARTS))
+        return graph.pair_similarity(self.turns, self.top, PARTS)
 
+    @cached_property
     def knn(self) -> DataFrame:
-        if not hasattr(self, "_knn"):
-            self._knn = graph.knn(self.sim(), NEIGHBOURS).persist()
-        return self._knn
+        return written(graph.knn(written(self.sim(), "sim"), NEIGHBOURS), "knn")
 
+    @cached_property
     def mutual(self) -> DataFrame:
-        if not hasattr(self, "_mutual"):
-            self._mutual = graph.mutual(self.knn()).persist()
-        return self._mutual
+        return written(graph.mutual(self.knn), "mutual")
 
+    @cached_property
     def clusters(self) -> DataFrame:
-        if not hasattr(self, "_clusters"):
-            self._clusters = graph.greedy_clusters(self.top, self.mutual()).persist()
-        return self._clusters
+        return written(graph.greedy_clusters(self.top, self.mutual), "clusters")
 
+    @cached_property
     def edges(self) -> DataFrame:
-        return graph.cluster_edges(self.clusters(), self.mutual())
+        return written(graph.cluster_edges(self.clusters, self.mutual), "edges")
 
+    @cached_property
     def worth(self) -> DataFrame:
-        return events.newsworthiness(self.top, segment.keyphraseness(self.t.anchors(), self.t.pages))
+        known = segment.keyphraseness(self.t.anchors(), self.t.pages, among=events.subgrams(self.top).select("gram").distinct())
+        return written(events.newsworthiness(self.top, known), "worth")
 
+    @cached_property
     def ranked(self) -> DataFrame:
-        if not hasattr(self, "_ranked"):
-            self._ranked = events.ranked(events.measured(self.clusters(), self.edges(), self.top, self.worth())).persist()
-        return self._ranked
+        return written(events.ranked(events.measured(self.clusters, self.edges, self.top, self.worth)), "ranked")
 
 
 @query(sql("turns") + ", " + SQL["tw"] + " SELECT window_id, CAST(floor(hour / 2) AS INTEGER) AS m, count(DISTINCT tweet_id) AS n FROM tw GROUP BY 1, 2")
@@ -120,38 +127,38 @@ def segment_pair_similarity(t: Tables) -> DataFrame:
 
 @query(KNN + " SELECT window_id, src, dst, sim, rank FROM knn")
 def knn_edges(t: Tables) -> DataFrame:
-    return Plan(t).knn().select("window_id", "src", "dst", "sim", "rank")
+    return Plan(t).knn.select("window_id", "src", "dst", "sim", "rank")
 
 
 @query(KNN + " SELECT * FROM mutual")
 def mutual_knn(t: Tables) -> DataFrame:
-    return Plan(t).mutual()
+    return Plan(t).mutual
 
 
 @query(CLUSTERS + " SELECT * FROM clusters")
 def event_clusters(t: Tables) -> DataFrame:
-    return Plan(t).clusters()
+    return Plan(t).clusters
 
 
 @query(WORTH + " SELECT * FROM worth")
 def segment_newsworthiness(t: Tables) -> DataFrame:
-    return Plan(t).worth()
+    return Plan(t).worth
 
 
 @query(RANKED + " SELECT window_id, event_id, n_nodes, n_edges, worth_sum, sim_sum, mu, ratio, rank FROM ranked")
 def event_ranking(t: Tables) -> DataFrame:
-    return Plan(t).ranked().select("window_id", "event_id", "n_nodes", "n_edges", "worth_sum", "sim_sum", "mu", "ratio", "rank")
+    return Plan(t).ranked.select("window_id", "event_id", "n_nodes", "n_edges", "worth_sum", "sim_sum", "mu", "ratio", "rank")
 
 
 @query(RANKED + """, h AS (SELECT CAST(floor(ratio) AS INTEGER) AS bin, count(*) AS n FROM ranked WHERE ratio <= 10 GROUP BY 1), s AS (SELECT unnest(range((SELECT min(bin) FROM h), (SELECT max(bin) FROM h) + 1)) AS bin)
  SELECT CAST(s.bin AS INTEGER) AS bin, coalesce(n, 0) AS n, CAST(sum(coalesce(n, 0)) OVER (ORDER BY s.bin) AS BIGINT) AS cumulative FROM s LEFT JOIN h USING (bin)""")
 def event_ratio_histogram(t: Tables) -> DataFrame:
-    return events.ratio_histogram(Plan(t).ranked())
+    return events.ratio_histogram(Plan(t).ranked)
 
 
 @query(RANKED + " SELECT n_nodes, count(*) AS n FROM ranked GROUP BY 1")
 def event_size_distribution(t: Tables) -> DataFrame:
-    return events.size_distribution(Plan(t).ranked())
+    return events.size_distribution(Plan(t).ranked)
 
 
 @query(RANKED + """, ends AS (SELECT window_id, seg_id, count(*) AS degree FROM (SELECT window_id, unnest([seg_i, seg_j]) AS seg_id FROM edges) GROUP BY 1, 2),
@@ -159,7 +166,7 @@ def event_size_distribution(t: Tables) -> DataFrame:
  SELECT window_id, rank, ratio, n_nodes, n_edges, by_degree, by_worth FROM ranked JOIN l USING (window_id, event_id)""")
 def event_report(t: Tables) -> DataFrame:
     p = Plan(t)
-    return events.report(p.ranked(), p.clusters(), p.edges(), p.top, p.worth())
+    return events.report(p.ranked, p.clusters, p.edges, p.top, p.worth)
 
 
 _SOCIAL = """social AS (SELECT tweet_id, user_id, window_id, hour, length(text) > 5 AND starts_with(lower(text), 'rt @') AS rt, contains(text, '@') AS men, starts_with(text, '@') AS reply, contains(text, 'http') AS url,
@@ -188,8 +195,8 @@ FEATURES = RANKED + ", " + _SOCIAL.format("turns") + """,
 
 def _base(p: Plan) -> tuple[DataFrame, DataFrame]:
     social = features.social(p.t.turns())
-    held = features.event_messages(p.words, p.clusters(), p.top)
-    return features.event_features(p.ranked(), held, social, stats.window_totals(p.words)), held.join(social.select("tweet_id", "tag"), "tweet_id")
+    held = features.event_messages(p.words, p.clusters, p.top)
+    return features.event_features(p.ranked, held, social, p.totals), held.join(social.select("tweet_id", "tag"), "tweet_id")
 
 
 @query(FEATURES + " SELECT * FROM f13t")
@@ -202,7 +209,7 @@ def event_features_17(t: Tables) -> DataFrame:
     p = Plan(t)
     base, messages = _base(p)
     words = p.top.select(F.explode(F.split("unit", "[ _]")).alias("word")).distinct()
-    dups = features.repeated_stems(p.clusters(), p.top, words.withColumn("stem", stem(F.col("word"))))
+    dups = features.repeated_stems(p.clusters, p.top, words.withColumn("stem", stem(F.col("word"))))
     tags = messages.select("window_id", "event_id", F.explode(F.split("tag", " ")).alias("tag")).where("tag <> ''").withColumn("tag", F.lower("tag"))
     counts = affix.tag_counts(t.tags())
     weights = affix.affix_weights(counts)
