@@ -259,6 +259,8 @@ def kmeans_cw(df: DataFrame, seeds: list[int], rounds: int = 15) -> DataFrame:
             break
         last = rows
         fixed = df.sparkSession.createDataFrame(rows, "feature int, mean double")
-        own = minmax(reweighted(df, fixed))
+        held, own = own, minmax(reweighted(df, fixed)).persist()  # read once a round of kmeans()
         out = event_cluster(kmeans(own, seeds))
+        if held is not df:
+            held.unpersist()
     return out

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import evaluate, learn
+from ..sources.stored import written
 from ..sources.tables import Tables, sql
 from ..streaming import days
 from .catalog import query
@@ -18,7 +19,7 @@ _FLAT = "instance_id, label, " + ", ".join(f"x[{i + 1}] AS x{i}" for i in range(
 
 
 def _norm(t: Tables) -> DataFrame:
-    return learn.minmax(t.vectors())
+    return learn.minmax(written(t.vectors(), "vectors"))  # read for its ends and again; a few numbers a text
 
 
 def _flat(df: DataFrame, n: int = 6) -> DataFrame:

@@ -52,22 +52,20 @@ class Tables:
 
     def vectors(self) -> DataFrame:
         """(instance_id, label, x array<double>) of labelled documents: six measures of a text."""
-        d = self.documents.join(self.labels, "doc_id")
         words = T.words(F.col("text"))
         n = F.greatest(F.size("w"), F.lit(1)).cast("double")
         chars = F.greatest(F.length("text"), F.lit(1)).cast("double")
-        return d.withColumn("w", words).select(
-            F.col("doc_id").alias("instance_id"),
-            F.col("quality").alias("label"),
-            F.array(
-                F.length("text").cast("double"),
-                F.size("w").cast("double"),
-                F.size(F.array_distinct("w")) / n,
-                F.length(F.regexp_replace("text", "[^0-9]", "")) / chars,
-                F.length(F.regexp_replace("text", "[^A-Z]", "")) / chars,
-                F.length(F.regexp_replace("text", "[a-zA-Z0-9 ]", "")) / chars,
-            ).alias("x"),
+        measures = F.array(
+            F.length("text").cast("double"),
+            F.size("w").cast("double"),
+            F.size(F.array_distinct("w")) / n,
+            F.length(F.regexp_replace("text", "[^0-9]+", "")) / chars,
+            F.length(F.regexp_replace("text", "[^A-Z]+", "")) / chars,
+            F.length(F.regexp_replace("text", "[a-zA-Z0-9 ]+", "")) / chars,
         )
+        # Texts are measured where they are read; only six numbers of each meet the labels.
+        measured = self.documents.withColumn("w", words).select("doc_id", measures.alias("x"))
+        return measured.join(self.labels, "doc_id").select(F.col("doc_id").alias("instance_id"), F.col("quality").alias("label"), "x")
 
 
 def window_of(path: Column) -> Column:

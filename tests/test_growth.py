@@ -79,3 +79,15 @@ def test_only_grams_that_may_be_wanted_are_made(spark):
     assert must == Counter(x for x in got if x[2] in wanted) and len(got) < must.total() + len(every) / 100
     once = [tuple(r) for r in segment.grams_among(df, keep, 5, "page_id", True).where("n = 1").collect()]
     assert len(once) == len(set(once)) and {x for x in once if x[2] in wanted} == {x for x in must if x[1] == 1}
+
+
+@tables
+def test_texts_are_measured_once_and_before_they_meet_labels(spark):
+    from burstline.sources.tables import Tables
+
+    plan = Tables(spark, FOLDER).vectors()._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = next(i for i, x in enumerate(plan) if "Join" in x)
+    assert "regexp" not in "".join(plan[:join]) and "regexp" in "".join(plan[join:])
+    for name in ("minmax_features", "filter_vote", "score_histogram", "reweighted_features"):
+        plan = analyzed(QUERIES[name](spark, FOLDER))
+        assert "text#" not in plan and "regexp" not in plan, name
