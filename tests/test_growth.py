@@ -91,3 +91,25 @@ def test_texts_are_measured_once_and_before_they_meet_labels(spark):
     for name in ("minmax_features", "filter_vote", "score_histogram", "reweighted_features"):
         plan = analyzed(QUERIES[name](spark, FOLDER))
         assert "text#" not in plan and "regexp" not in plan, name
+
+
+@tables
+def test_words_of_texts_are_counted_before_they_are_shuffled(spark):
+    from burstline.operators import stats
+
+    rows = [(1, "en", ["A", "a", "b"]), (2, None, []), (3, "de", None), (1, "en", ["b", "B", "c"])]
+    got = sorted(tuple(r) for r in stats.word_counts(spark.createDataFrame(rows, "tweet_id long, lang string, tokens array<string>")).collect())
+    assert got == [(1, "en", "a", 2), (1, "en", "b", 1), (1, "en", "b", 2), (1, "en", "c", 1)]
+    plan = analyzed(QUERIES["non_english_rejects"](spark, FOLDER))
+    assert "text#" not in plan and "LeftAnti" in plan
+
+
+@tables
+def test_probabilities_of_some_grams_read_stored_grams(spark):
+    rows = [(i, f"a b a {'c' * (i % 3)} b".split()) for i in range(20)] + [(99, [])]
+    df = spark.createDataFrame(rows, "tweet_id long, tokens array<string>")
+    every = {r["gram"]: r for r in segment.log_probabilities(df).collect()}
+    some = segment.log_probabilities(df, among=spark.createDataFrame([("a b",), ("b",), ("z",)], "gram string")).collect()
+    assert {r["gram"]: r for r in some} == {g: every[g] for g in ("a b", "b")}
+    plan = analyzed(QUERIES["gram_prob_semijoin"](spark, FOLDER))
+    assert "grams_among" in plan or "MapInArrow" in plan
