@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.scores import rounded
-from ..operators import burst, segment, stats
+from ..operators import burst, clean, segment, stats
 from ..sources import readers
 from ..sources.stored import written
 from ..sources.tables import Tables, sql
@@ -119,7 +119,7 @@ CLEAN = f"""WITH s AS (SELECT doc_id AS tweet_id, lang, list_filter(string_split
 
 
 def _clean(t: Tables) -> DataFrame:
-    return t.documents.select(F.col("doc_id").alias("tweet_id"), "lang", T.clean_tokens(F.col("text")).alias("tokens"))
+    return clean.cleaned(t.documents.select(F.col("doc_id").alias("tweet_id"), "lang", "text"))
 
 
 @query(CLEAN + " SELECT tweet_id, len(tokens) AS n, md5(array_to_string(tokens, ' ')) AS digest FROM c")

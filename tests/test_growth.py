@@ -113,3 +113,22 @@ def test_probabilities_of_some_grams_read_stored_grams(spark):
     assert {r["gram"]: r for r in some} == {g: every[g] for g in ("a b", "b")}
     plan = analyzed(QUERIES["gram_prob_semijoin"](spark, FOLDER))
     assert "grams_among" in plan or "MapInArrow" in plan
+
+
+def test_texts_are_cleaned_in_batches_as_by_columns(spark):
+    from burstline.functions import text as T
+    from burstline.operators import clean
+
+    rng = random.Random(6)
+    bits = ["a", "B", "9", "&lt;", "&gt;", "@", "#", "_", "-", "'", "é", "\u2028", "\u00a0", "\x1c", "http", "the", "rt", "&", "x1", "~", "\x7f"]
+    texts = ["".join(rng.choice([*bits, " ", "\t", "\n", "\x0b"]) for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([None, "", " ", "http the a", *texts])], "tweet_id long, text string")
+    want = {r[0]: r[1] for r in df.select("tweet_id", T.clean_tokens(F.col("text"))).collect()}
+    got = clean.cleaned(df)
+    assert {r["tweet_id"]: r["tokens"] for r in got.collect()} == want
+    assert "rlike" not in executed(got).lower() and "MapInArrow" in executed(got)
+
+
+@tables
+def test_clean_texts_take_no_pattern_a_token(spark):
+    assert "RLIKE" not in analyzed(QUERIES["tweet_clean_text"](spark, FOLDER))
